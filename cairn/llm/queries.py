@@ -4,22 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import mixing, simhash
+from cairn.llm import ann, mixing, sentences, simhash, sst, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op2_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return sentences.round_trip(table(spark, sf_dir, "documents"), sentences.Model.load(path or tokenizer_path("piece_bpe_32k.model")))
+
+
+def op6_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    with open(path or tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return sst.token_shards(table(spark, sf_dir, "documents"), f.read())
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
