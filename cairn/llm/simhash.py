@@ -14,8 +14,9 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.llm._util import components, materialize
 
@@ -165,19 +166,53 @@ def links(fps: DataFrame, r: int = 4) -> DataFrame:
     return met.where("a <> b").distinct()
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, r: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, root) of every distinct fingerprint; both written to the shared folder."""
+    prints = materialize(fingerprints(docs, id_col, text_col, words), "simhash-fp")
+    each = materialize(prints.select("fp").distinct(), "simhash-each")
+    cc = components(links(each, r), "simhash-cc").withColumnRenamed("node", "fp")
+    roots = each.join(cc, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return prints, materialize(roots, "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, r: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest id whose fingerprint is reachable over links
     of at most r bits. One row per input row.
 
     Null and blank texts have fingerprint 0 and are linked like any other. Null ids are kept and never are a
     component_id unless all ids of a component are null (then it is null). Other columns are ignored."""
-    prints = materialize(fingerprints(docs, id_col, text_col, words), "simhash-fp")
-    each = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-each")
-    cc = materialize(components(links(each, r), "simhash-cc"), "simhash-roots")
-    roots = each.join(cc.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = roots.join(cc.select("root").distinct(), "root", "left_semi")
-    comp = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = each.join(cc.join(comp, "root").select(F.col("node").alias("fp"), "component_id"), "fp", "left")
-    of = of.select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    prints, roots = grouped(docs, id_col, text_col, words, r)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
+    of = roots.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     out = prints.join(of, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 4, r: int = 4) -> DataFrame:
+    """docs (doc_id, text and any other columns, which stay) without near-duplicates: one row of each component.
+
+    The row with the smallest id stays, null ids last; of rows that share an id and a component, that with the
+    smallest fingerprint, then text hash. Texts are shuffled only where ids of dropped rows can't be broadcast."""
+    prints, roots = grouped(docs, "doc_id", "text", words, r)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w")
+    kept = materialize(prints.join(roots, "fp").groupBy("root").agg(first).select(F.col("w.doc_id").alias("w_id"), F.col("w.fp").alias("w_fp")), "simhash-kept")
+    shared = materialize(prints.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("s_id")), "simhash-shared")
+    same_id = F.col("doc_id").eqNullSafe(F.col("w_id"))
+    dropped = prints.join(kept, same_id & (F.col("fp") == F.col("w_fp")), "left_anti").select(F.col("doc_id").alias("d_id")).distinct()
+    is_shared = F.col("doc_id").eqNullSafe(F.col("s_id"))
+    rest = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("d_id")), "left_anti")
+    if shared.isEmpty():
+        return rest
+    rest = docs.join(shared, is_shared, "left_anti").join(dropped, F.col("doc_id").eqNullSafe(F.col("d_id")), "left_anti")
+    again = docs.join(shared, is_shared, "left_semi")  # ids that don't say which row is meant: by fingerprint too
+    text = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+
+    def run(batches):
+        for b in batches:
+            fps = np.fromiter((fingerprint(t, words) for t in b.column(text).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=schema.names)
+
+    order = Window.partitionBy("doc_id", "__fp").orderBy(F.xxhash64("text"), "text")
+    again = again.mapInArrow(run, schema).join(kept, same_id & (F.col("__fp") == F.col("w_fp")), "left_semi")
+    return rest.unionByName(again.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns))
