@@ -129,8 +129,8 @@ def jump(offset: np.ndarray, after: np.ndarray, size: int) -> np.ndarray:
     o, a = offset[order], after[order]
     n = len(o)
     nxt = np.searchsorted(o, a)
-    nxt[(nxt < n) & (np.append(o, -1)[np.minimum(nxt, n)] != a)] = n + 1  # no candidate there: broken
-    nxt[a == size] = n
+    found = np.append(o, -1)[nxt] == a
+    nxt = np.where(a == size, n, np.where(found, nxt, n + 1))  # the end, a candidate, or a break
     nxt = np.append(nxt, [n, n + 1])  # the end and the fault point to themselves
     reached = np.zeros(n + 2, bool)
     if n and o[0] == 0:
