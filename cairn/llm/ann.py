@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from cairn.llm import blocks
 
-M, SHARE, SPARE, START, WIDEN = 96, 0.6, 0.15, 0.2, 1.3
+M, SHARE, SPARE, START, WIDEN = 64, 0.6, 0.2, 0.25, 1.5
 
 
 def lines(dims: int, m: int = M, seed: int = 42) -> np.ndarray:
