@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from cairn.llm._util import components, materialize
 
+SMALL_IDS = 1_000_000  # so many longs may be broadcast; beyond, the join shuffles
 SEGMENTS = 16  # segments of two bits in a half
 
 
@@ -199,6 +200,9 @@ def keep_one(docs: DataFrame, words: int = 4, r: int = 4) -> DataFrame:
     shared = materialize(prints.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("s_id")), "simhash-shared")
     same_id = F.col("doc_id").eqNullSafe(F.col("w_id"))
     dropped = prints.join(kept, same_id & (F.col("fp") == F.col("w_fp")), "left_anti").select(F.col("doc_id").alias("d_id")).distinct()
+    dropped = materialize(dropped, "simhash-dropped")
+    if dropped.count() <= SMALL_IDS:
+        dropped = F.broadcast(dropped)
     is_shared = F.col("doc_id").eqNullSafe(F.col("s_id"))
     rest = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("d_id")), "left_anti")
     if shared.isEmpty():
