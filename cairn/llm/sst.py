@@ -20,6 +20,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ ENTRY = struct.Struct("<9sQIIQ")
 #: Byte-level tokenizers write each byte as a printable character: itself where it is one, else from U+0100 on.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - _SHOWN))}
+_BLANK = chr(_BYTE_CHARS[32])
 #: The split of byte-level tokenizers, on characters where all libraries agree about letters, digits and spaces.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _LATIN = re.compile("[\t-\r -~\u00a1-\u024f]+")
@@ -69,12 +71,12 @@ class Writer:
     def _new(self):
         self.keys, self.counts, self.values, self.size = [], [], [], 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        """Documents come in ascending order of their keys."""
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """ids: little-endian, in the shard's width. Documents come in ascending order of their keys."""
         key = key_of(doc_id)
         self.keys.append(key)
-        self.counts.append(len(ids))
-        self.values.append(ids.astype(f"<u{self.width}").tobytes())
+        self.counts.append(len(ids) // self.width)
+        self.values.append(ids)
         self.hashes.append(key)
         self.size += len(self.values[-1])
         if self.size >= BLOCK_BYTES:
@@ -157,36 +159,45 @@ class Reader:
 
 
 class Encoder:
-    """Exact ids of a byte-level tokenizer file, with distinct chunks encoded once.
+    """Exact ids of a byte-level tokenizer file, as little-endian bytes, with distinct chunks encoded once.
 
     The pre-tokenizer never joins what stands before a blank that follows a non-blank with that blank, so a text is
     cut there; chunks after white space stay together. Chunks of Latin characters are split as the file's
     pre-tokenizer splits them and go to the library's model word by word; all others go through the whole library."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000  # chunks of either generation
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, width: int = 4):
         import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.code = {2: "H", 4: "I"}[width]
         d = json.loads(definition)
         pre = d.get("pre_tokenizer") or {}
         self.plain = d.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and d["model"]["type"] == "BPE"
         self.special = [t["content"] for t in d.get("added_tokens") or []]
+        self.plain &= not any(t[:-1].isalpha() for t in self.special)
+        self.model = self.tokenizer.model
         self.words = _Cache(self._word)
-        self.tails = _Cache(lambda c: self._chunk(" " + c))  # by chunks without their first blank
+        self.tails = _Cache(self._tail)  # by chunks without their first blank
 
     def _word(self, word: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))], "<u4").tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+
+    def _tail(self, key: str) -> bytes:
+        if key and self.plain and key.isascii():
+            if key.isalpha():
+                return array(self.code, [t.id for t in self.model.tokenize(_BLANK + key)]).tobytes()
+            if key[-1] in ".," and key[:-1].isalpha():
+                return self.tails[key[:-1]] + self.words[key[-1]]
+        return self._chunk(" " + key)
 
     def _chunk(self, chunk: str) -> bytes:
         if self.plain and _LATIN.fullmatch(chunk) and not any(t in chunk for t in self.special):
-            if chunk[1:].isalpha():
-                return self._word(chunk)
             return b"".join([self.words[w] for w in _SPLIT.findall(chunk)])
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return array(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     @staticmethod
     def chunks(text: str) -> tuple[str, list[str]]:
@@ -205,21 +216,40 @@ class Encoder:
         return (out[0], [c[1:] for c in out[1:]]) if len(out) > 1 or not now.startswith(" ") else ("", [now[1:]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.words, self.tails):
-            if len(cache) > self.LIMIT:
-                cache.clear()
+        self.words.age(self.LIMIT // 4)
+        self.tails.age(self.LIMIT)
         split = map(self.chunks, texts)
         return [(self._chunk(head) if head else b"") + b"".join(map(self.tails.__getitem__, rest)) for head, rest in split]
 
 
 class _Cache(dict):
+    """Made on demand, in two generations: what wasn't asked for while the younger one filled up is forgotten."""
+
     def __init__(self, make):
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        out = self[key] = self.make(key)
+        if (out := self.old.get(key)) is None:
+            out = self.make(key)
+        self[key] = out
         return out
 
+    def age(self, limit: int) -> None:
+        if len(self) > limit:
+            self.old = dict(self)
+            self.clear()
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(definition: str, width: int) -> Encoder:
+    """One per Python worker, so that its tasks share what was encoded before."""
+    if (definition, width) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[definition, width] = Encoder(definition, width)
+    return _ENCODERS[definition, width]
+
 
 def write(docs: DataFrame, definition: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, width: int = 4) -> DataFrame:
     """Encode, append end_id and write shards in ascending order of ids -> (shard, docs, tokens), written already.
@@ -234,7 +264,7 @@ def write(docs: DataFrame, definition: str, folder: str, id_col: str = "doc_id",
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, n = Encoder(shared.value), TaskContext.get().partitionId()
+        own, n, end = encoder(shared.value, width), TaskContext.get().partitionId(), end_id.to_bytes(width, "little")
         fs, root = filesystem(folder)
         name = f"{root}/.{n:06d}-{uuid.uuid4().hex}"
         with fs.open_output_stream(name) as out:
@@ -242,9 +272,9 @@ def write(docs: DataFrame, definition: str, folder: str, id_col: str = "doc_id",
             for b in batches:
                 for i in range(0, b.num_rows, 256):
                     part = b.slice(i, 256)
-                    got = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                    got = own.encode([t or "" for t in part.column(1).to_pylist()])
                     for doc_id, ids in zip(part.column(0).to_pylist(), got):
-                        w.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
+                        w.add(doc_id, ids + end)
             w.close()
         fs.move(name, f"{root}/{n:06d}.sst")
         yield pa.RecordBatch.from_pydict({"shard": [n], "docs": [w.docs], "tokens": [w.tokens]}, pa.schema([("shard", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())]))
