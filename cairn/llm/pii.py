@@ -162,7 +162,8 @@ MONTHS = "january february march april may june july august september october no
 
 def date(text: str, key: bytes, back: bool) -> str | None:
     """A valid day of 1900-2099 in a numeric or English layout; the day of an ambiguous layout is read month first where
-    that is valid. The image keeps order, separators, padding and the month's style."""
+    that is valid. The image keeps order, separators and the month's style, and the widths of day and month where they fit: the
+    way back gives the same day, though perhaps with a zero before it, or May's month in the other style."""
     parts = re.split(r"([^0-9A-Za-z]+)", text)
     fields, seps = parts[::2], parts[1::2]
     word = next((i for i, f in enumerate(fields) if f.isalpha()), None)

@@ -165,7 +165,7 @@ class Encoder:
     cut there; chunks after white space stay together. Chunks of Latin characters are split as the file's
     pre-tokenizer splits them and go to the library's model word by word; all others go through the whole library."""
 
-    LIMIT = 250_000  # chunks of either generation
+    LIMIT = 300_000  # chunks of either generation
 
     def __init__(self, definition: str, width: int = 4):
         import json
@@ -178,7 +178,8 @@ class Encoder:
         pre = d.get("pre_tokenizer") or {}
         self.plain = d.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and d["model"]["type"] == "BPE"
         self.special = [t["content"] for t in d.get("added_tokens") or []]
-        self.plain &= not any(t[:-1].isalpha() for t in self.special)
+        self.plain &= len(self.special) == 1 and not self.special[0][:-1].isalpha()
+        self.mark = self.special[0] if self.special else ""
         self.model = self.tokenizer.model
         self.words = _Cache(self._word)
         self.tails = _Cache(self._tail)  # by chunks without their first blank
@@ -195,7 +196,7 @@ class Encoder:
         return self._chunk(" " + key)
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.plain and _LATIN.fullmatch(chunk) and not any(t in chunk for t in self.special):
+        if self.plain and self.mark not in chunk and _LATIN.fullmatch(chunk):
             return b"".join([self.words[w] for w in _SPLIT.findall(chunk)])
         return array(self.code, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
@@ -216,7 +217,7 @@ class Encoder:
         return (out[0], [c[1:] for c in out[1:]]) if len(out) > 1 or not now.startswith(" ") else ("", [now[1:]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.words.age(self.LIMIT // 4)
+        self.words.age(self.LIMIT // 2)
         self.tails.age(self.LIMIT)
         split = map(self.chunks, texts)
         return [(self._chunk(head) if head else b"") + b"".join(map(self.tails.__getitem__, rest)) for head, rest in split]
