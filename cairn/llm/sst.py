@@ -165,7 +165,7 @@ class Encoder:
     cut there; chunks after white space stay together. Chunks of Latin characters are split as the file's
     pre-tokenizer splits them and go to the library's model word by word; all others go through the whole library."""
 
-    LIMIT = 300_000  # chunks of either generation
+    LIMIT = 400_000  # chunks of either generation
 
     def __init__(self, definition: str, width: int = 4):
         import json
@@ -217,7 +217,7 @@ class Encoder:
         return (out[0], [c[1:] for c in out[1:]]) if len(out) > 1 or not now.startswith(" ") else ("", [now[1:]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.words.age(self.LIMIT // 2)
+        self.words.age(self.LIMIT // 8)
         self.tails.age(self.LIMIT)
         split = map(self.chunks, texts)
         return [(self._chunk(head) if head else b"") + b"".join(map(self.tails.__getitem__, rest)) for head, rest in split]
