@@ -217,6 +217,8 @@ class Encoder:
         return (out[0], [c[1:] for c in out[1:]]) if len(out) > 1 or not now.startswith(" ") else ("", [now[1:]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.plain:  # a normalizer or another pre-tokenizer may look across the cuts
+            return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         self.words.age(self.LIMIT // 8)
         self.tails.age(self.LIMIT)
         split = map(self.chunks, texts)
