@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from cairn.llm._util import materialize, n_words
 
 KEYS = ["doc_id", "source", "size"]
-SMALL_UNITS = 500_000  # so many decisions may be broadcast to the documents; beyond, both sides are shuffled
 
 
 def targets(stats: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_ratio: float = 3.0) -> DataFrame:
@@ -114,12 +113,12 @@ def decisions(sized: DataFrame, weights=(5, 2, 1), max_ratio: float = 3.0, seed:
 
 
 def attach(docs: DataFrame, made: DataFrame) -> DataFrame:
-    """docs with a column __size, each row with its unit's source_size, target, copies."""
+    """docs with a column __size, each row with its unit's source_size, target, copies.
+
+    Both sides are shuffled by the unit at every size; units are hashed, texts are not sorted."""
     m = made.select(*[F.col(k).alias(f"__m_{k}") for k in KEYS], F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("copies").alias("__copies"))
-    if made.count() <= SMALL_UNITS:
-        m = F.broadcast(m)
     on = F.col("doc_id").eqNullSafe(F.col("__m_doc_id")) & F.col("source").eqNullSafe(F.col("__m_source")) & (F.col("__size") == F.col("__m_size"))
-    return docs.join(m, on).drop(*[f"__m_{k}" for k in KEYS])
+    return docs.join(m.hint("shuffle_hash"), on).drop(*[f"__m_{k}" for k in KEYS])
 
 
 def mix(docs: DataFrame, text: str = "text", **params) -> DataFrame:

@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 
 from cairn.llm._util import components, materialize
 
-SMALL_IDS = 1_000_000  # so many longs may be broadcast; beyond, the join shuffles
 SEGMENTS = 16  # segments of two bits in a half
 
 
@@ -193,22 +192,20 @@ def keep_one(docs: DataFrame, words: int = 4, r: int = 4) -> DataFrame:
     """docs (doc_id, text and any other columns, which stay) without near-duplicates: one row of each component.
 
     The row with the smallest id stays, null ids last; of rows that share an id and a component, that with the
-    smallest fingerprint, then text hash. Texts are shuffled only where ids of dropped rows can't be broadcast."""
+    smallest fingerprint, then text hash. Texts are shuffled once, by their ids, at every size."""
     prints, roots = grouped(docs, "doc_id", "text", words, r)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w")
     kept = materialize(prints.join(roots, "fp").groupBy("root").agg(first).select(F.col("w.doc_id").alias("w_id"), F.col("w.fp").alias("w_fp")), "simhash-kept")
     shared = materialize(prints.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("s_id")), "simhash-shared")
     same_id = F.col("doc_id").eqNullSafe(F.col("w_id"))
     dropped = prints.join(kept, same_id & (F.col("fp") == F.col("w_fp")), "left_anti").select(F.col("doc_id").alias("d_id")).distinct()
-    dropped = materialize(dropped, "simhash-dropped")
-    if dropped.count() <= SMALL_IDS:
-        dropped = F.broadcast(dropped)
+    dropped = materialize(dropped, "simhash-dropped").hint("shuffle_hash")
     is_shared = F.col("doc_id").eqNullSafe(F.col("s_id"))
     rest = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("d_id")), "left_anti")
     if shared.isEmpty():
         return rest
-    rest = docs.join(shared, is_shared, "left_anti").join(dropped, F.col("doc_id").eqNullSafe(F.col("d_id")), "left_anti")
-    again = docs.join(shared, is_shared, "left_semi")  # ids that don't say which row is meant: by fingerprint too
+    rest = docs.join(shared.hint("shuffle_hash"), is_shared, "left_anti").join(dropped, F.col("doc_id").eqNullSafe(F.col("d_id")), "left_anti")
+    again = docs.join(shared.hint("shuffle_hash"), is_shared, "left_semi")  # ids that don't say which row is meant: by fingerprint too
     text = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
 
