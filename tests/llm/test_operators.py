@@ -336,6 +336,16 @@ def test_shards_hold_exact_ids_and_look_up(spark):
     assert sst.token_shards(docs(spark, []), definition).count() == 0
 
 
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    definition = open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read()
+    t = Tokenizer.from_str(definition)
+    texts = ["", " ", "A  b\n c", "don't stop 12 é!", "x" * 300 + " y"]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
+    assert sst.Encoder(definition, 2).encode(texts) == want
+
+
 def test_lookup(tmp_path):
     from pyarrow import fs
 
