@@ -1,12 +1,14 @@
 """All linkage queries by name: a function of (spark, sf_dir) and, where SQL can say it, the same in DuckDB SQL.
 
-The derived records are small and clean, so the oracle queries bind caps that production leaves wide: key_cap 5,
-k_max 5, a cut of 3 per source. Integers are longs and doubles are rounded at 6 places on both sides.
+The SQL binds caps that production leaves wide: key_cap 5, k_max 5, a cut of 3 per source. Queries held against it do a
+smaller job for that, which loses groups of copies; each has a twin NAME_whole without SQL that runs the operators' own
+defaults, as do queries that have no SQL. Integers are longs and doubles are rounded at 6 places on both sides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +21,9 @@ from cairn.plans.oracles import sql
 from cairn.plans.records import ascii_keys, records, split, table, truth
 from cairn.sources.tables import sizes
 
-CAP = {"key_cap": 5, "k_max": 5}
+#: The small caps of the SQL by step; a step that is not there has its operator's defaults.
+SQL_CAPS = {"blocking": {"key_cap": 5, "k_max": 5}, "cut": {"tau": 0.3, "cap": 3}, "sizes": {"key_cap": 5}, "exact": {"cap": 3}, "tokens": {"df_cap": 20, "k_max": 5}}
+_caps: ContextVar[dict] = ContextVar("caps", default=SQL_CAPS)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -48,6 +52,23 @@ def query(oracle: str | None = None, upto: str | None = None):
     return add
 
 
+def caps(step: str) -> dict:
+    return _caps.get().get(step, {})
+
+
+def whole(f):
+    """f with the operators' own defaults."""
+
+    def run(spark, d):
+        was = _caps.set({})
+        try:
+            return f(spark, d)
+        finally:
+            _caps.reset(was)
+
+    return run
+
+
 # --- what queries share -----------------------------------------------------------------------------------------
 
 
@@ -58,12 +79,12 @@ def keys(spark, d):
 def candidates(spark, d):
     k = keys(spark, d)
     s1, t = split(k)
-    return blocking.run_blocking(s1, [t], **CAP), k, s1, t
+    return blocking.run_blocking(s1, [t], **caps("blocking")), k, s1, t
 
 
 def cut(spark, d):
     c, k, s1, t = candidates(spark, d)
-    return rerank.cut(rerank.fixed_score(rerank.features(c, s1, t)), 0.3, 3), k, s1, t
+    return rerank.cut(rerank.fixed_score(rerank.features(c, s1, t)), **caps("cut")), k, s1, t
 
 
 def joined(spark, d):
@@ -318,7 +339,7 @@ def affix_keys(spark, d):
 
 @query("select c as country_key, key, cast(df as bigint) as df from w", "w")
 def key_blocks_capped(spark, d):
-    return blocking.block_sizes(blocking.keys_of(*split(keys(spark, d)))[1], 5)
+    return blocking.block_sizes(blocking.keys_of(*split(keys(spark, d)))[1], **caps("sizes"))
 
 
 @query("select cast(s1_id as bigint) as s1_id, cast(tgt_id as bigint) as tgt_id, round(score,6) as score, cast(n_keys as bigint) as n_keys, cast(rk as bigint) as rk from cand", "cand")
@@ -338,7 +359,7 @@ def blocking_eval(spark, d):
  select s.id as s1_id, t.id as tgt_id from k s join k t on s.c=t.c and s.name=t.name and s.src=1 and t.src>1 where not exists (select 1 from (select c, name from k where src>1 group by all having count(*)>3) b where b.c=t.c and b.name=t.name)
  union all select s.id, t.id from k s join k t on s.c=t.c and s.addr=t.addr and s.src=1 and t.src>1 where not exists (select 1 from (select c, addr from k where src>1 group by all having count(*)>3) b where b.c=t.c and b.addr=t.addr))""", "k")
 def exact_key_blocking(spark, d):
-    return blocking.exact_key_blocking(*split(keys(spark, d)), 3)
+    return blocking.exact_key_blocking(*split(keys(spark, d)), **caps("exact"))
 
 
 @query("""select cast(s1_id as bigint) as s1_id, cast(tgt_id as bigint) as tgt_id, round(score,6) as score, cast(n_tokens as bigint) as n_tokens, cast(rk as bigint) as rk from (select *, row_number() over (partition by s1_id, tgt_id//100000000000 order by score desc, tgt_id) as rk from (
@@ -347,7 +368,7 @@ def exact_key_blocking(spark, d):
  join (select c, tok, count(*) as df from (select c, unnest(nt) as tok from tl join k using (id) where src>1) group by all having count(*)<=20) w using (c,tok)
  join (select c, count(*) as n from k where src>1 group by c) n using (c) group by a.id, b.id)) where rk<=5""", "tl")
 def token_idf_blocking(spark, d):
-    return blocking.token_idf_blocking(*split(keys(spark, d)), df_cap=20, k_max=5)
+    return blocking.token_idf_blocking(*split(keys(spark, d)), **caps("tokens"))
 
 
 # --- rerank, competition, tables --------------------------------------------------------------------------------
@@ -656,3 +677,12 @@ def threshold_sweep(spark, d):
     taus = F.filter(F.array(*[F.lit(v) for v in (0.4, 0.6, 0.8)]), lambda v: F.col("p") >= v)
     return x.select("country", F.explode(taus).alias("tau")).groupBy("tau", "country").agg(F.count("*").alias("n"))
 
+
+# --- the whole job ----------------------------------------------------------------------------------------------
+
+CAPPED = [
+    "key_blocks_capped", "candidates_topk", "blocking_eval", "exact_key_blocking", "token_idf_blocking", "rerank_features", "adaptive_cut", "competition_context", "token_log_odds", "pair_feat_context", "pair_feat_cluster",
+    "pair_feat_name", "pair_feat_addr", "pair_feat_number", "pair_feat_idf", "pair_feat_odds", "pair_feat_format", "pair_feat_legal", "pair_feat_fuzzy", "pair_features_all", "decide_one_to_many", "extra_match_rule", "rule_top_and_rest",
+    "rule_relative", "expected_f05", "macro_f05", "submission", "validate_submission", "gbt_matcher", "audit_loss_stage", "audit_distractors", "audit_number_shape", "audit_target_coverage", "threshold_sweep",
+]
+QUERIES |= {f"{n}_whole" if n in ORACLES else n: whole(QUERIES[n]) for n in CAPPED}

@@ -102,3 +102,11 @@ def test_incremental_stream(spark, tmp_path):
     q = link(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), s1, lambda df, n: got.extend(df.collect()))
     q.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
     assert [r.tgt_id for r in got] == [200000000003]
+
+
+def test_whole_queries_keep_groups_of_copies(spark, tmp_path):
+    text = "velmora tasik brenholt ospira 12 quendal mirov strane pilcot harnova drelim"
+    rows = [(i, text, "en", "a", len(text)) for i in range(1, 13)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    q = {n: catalogue.QUERIES[n](spark, str(tmp_path)) for n in ("candidates_topk", "candidates_topk_whole", "exact_key_blocking_whole", "token_idf_blocking_whole", "adaptive_cut_whole", "pair_features_all")}
+    assert {n: df.count() for n, df in q.items()} == {"candidates_topk": 0, "candidates_topk_whole": 11, "exact_key_blocking_whole": 11, "token_idf_blocking_whole": 11, "adaptive_cut_whole": 10, "pair_features_all": 10}
