@@ -4,7 +4,8 @@ Found and validated values - cards (Luhn), IBANs (mod 97), social security numbe
 addresses, dates, keys and passwords - are mapped within their own format: the value is a number in a mixed radix,
 one digit per free character, a Feistel network with HMAC rounds permutes [0, N) by cycle walking, and the image is
 written in the same layout with the same check digits. So equal values get equal pseudonyms in all documents, whatever
-their separators, and who holds the key can go back. What fails its validation stays as it is.
+their separators, and who holds the key can go back. What fails its validation stays as it is; telephone numbers and IPv4
+addresses are valid by their layout, whether or not such a number can be assigned.
 """
 
 from __future__ import annotations
@@ -106,12 +107,8 @@ def phone(text: str, key: bytes, back: bool) -> str | None:
     if not 8 <= len(d) <= 15:
         return None
     if len(d) == 10 and text[0] != "+" or len(d) == 11 and d[0] == "1":
-        n = d[-10:]
-        if n[0] in "01" or n[3] in "01":
-            return None
-        radices, low = [8, 10, 10, 8, 10, 10, 10, 10, 10, 10], [2, 0, 0, 2, 0, 0, 0, 0, 0, 0]
-        out = mixed([int(c) - o for c, o in zip(n, low)], radices, key, "phone", back)
-        return refill(text, d[:-10] + "".join(str(v + o) for v, o in zip(out, low)))
+        out = mixed(list(map(int, d[-10:])), [10] * 10, key, "phone", back)  # area codes and exchanges that nobody has too
+        return refill(text, d[:-10] + "".join(map(str, out)))
     keep = 3 if text.startswith("+") else 1  # country code, or trunk digit
     free = list(map(int, d[keep:]))
     return refill(text, d[:keep] + "".join(map(str, mixed(free, [10] * len(free), key, f"phone{len(d)}{d[:keep]}", back))))
@@ -119,10 +116,9 @@ def phone(text: str, key: bytes, back: bool) -> str | None:
 
 def ipv4(text: str, key: bytes, back: bool) -> str | None:
     o = list(map(int, text.split(".")))
-    if max(o) > 255 or not 1 <= o[0] <= 223:
+    if max(o) > 255:
         return None
-    out = mixed([o[0] - 1, *o[1:]], [223, 256, 256, 256], key, "ipv4", back)
-    return ".".join(map(str, [out[0] + 1, *out[1:]]))
+    return ".".join(map(str, mixed(o, [256] * 4, key, "ipv4", back)))
 
 
 def _alike(text: str, key: bytes, tweak: str, back: bool) -> str:

@@ -164,6 +164,12 @@ def test_invalid_values_stay_and_equal_values_stay_linked():
     assert sorted(pii.permute(i, 1000, b"k", "t") for i in range(1000)) == list(range(1000))
 
 
+@pytest.mark.parametrize("text", ["+1 (017) 555-7713", "+1 (132) 555-1352", "(212) 155-0100", "233.254.104.120", "248.40.198.62", "0.12.3.4"])
+def test_values_nobody_can_have_are_hidden_too(text):
+    new, n = pii.pseudonymise(text)
+    assert n == 1 and new != text and pii.pseudonymise(new, back=True) == (text, 1)
+
+
 def test_pii_table(spark):
     out = pii.pseudonymise_docs(docs(spark, [*ODD, (9, "ip 70.123.182.155", "en", "a")]))
     assert out.columns == [c.split()[0] for c in DOCS.split(", ")] and out.count() == len(ODD) + 1
