@@ -10,6 +10,7 @@ fingerprints are one row before the join, and a cell gives a spanning star of ea
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +24,26 @@ from cairn.llm._util import components, materialize
 SEGMENTS = 16  # segments of two bits in a half
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """SimHash of the word shingles (whole sequence if shorter; 0 if there is no word)."""
+def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles (whole sequence if shorter; none if there is no word)."""
     parts = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     norm = b" ".join(parts)
+    h = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(norm, seed)
+        return np.array([h(norm, seed)], np.uint64)
     gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
     starts = np.concatenate(([0], gaps + 1))[: len(parts) - words + 1].tolist()
     ends = np.concatenate((gaps, [len(norm)]))[words - 1 :].tolist()
-    h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(norm[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(starts))
+    return np.fromiter((h(norm[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """SimHash of the word shingles (whole sequence if shorter; 0 if there is no word)."""
+    hashes = shingles(text, words, seed)
+    if len(hashes) <= 1:
+        return int(hashes[0]) if len(hashes) else 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         part = hashes[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -188,12 +196,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, r: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 4, r: int = 4, group: Callable | None = None, name: Callable | None = None) -> DataFrame:
     """docs (doc_id, text and any other columns, which stay) without near-duplicates: one row of each component.
 
     The row with the smallest id stays, null ids last; of rows that share an id and a component, that with the
-    smallest fingerprint, then text hash. Texts are shuffled once, by their ids, at every size."""
-    prints, roots = grouped(docs, "doc_id", "text", words, r)
+    smallest fingerprint, then text hash. Texts are shuffled once, by their ids, at every size. group(docs) and name(text)
+    stand for other groups than the fingerprints' and for the fp of a text there."""
+    name = name or (lambda t: fingerprint(t, words))
+    prints, roots = group(docs) if group else grouped(docs, "doc_id", "text", words, r)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w")
     kept = materialize(prints.join(roots, "fp").groupBy("root").agg(first).select(F.col("w.doc_id").alias("w_id"), F.col("w.fp").alias("w_fp")), "simhash-kept")
     shared = materialize(prints.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("s_id")), "simhash-shared")
@@ -211,7 +221,7 @@ def keep_one(docs: DataFrame, words: int = 4, r: int = 4) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t, words) for t in b.column(text).to_pylist()), np.uint64, b.num_rows)
+            fps = np.fromiter((name(t) for t in b.column(text).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=schema.names)
 
     order = Window.partitionBy("doc_id", "__fp").orderBy(F.xxhash64("text"), "text")

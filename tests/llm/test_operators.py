@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import ann, blocks, langid, mixing, pii, quality, sentences, simhash, sst, topk, warc
+from cairn.llm import ann, blocks, jaccard, langid, mixing, pii, quality, sentences, simhash, sst, topk, warc
 from cairn.llm._util import components, new_dir
 from cairn.llm.queries import tokenizer_path
 
@@ -296,6 +296,29 @@ def test_simhash_is_brute_force(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0 and simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_near_copies_are_those_of_jaccard(spark):
+    rng = random.Random(5)
+    rows = []
+    for g in range(12):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        rows.append(w)
+        for _ in range(3):
+            rows.append(c := list(w))
+            for _ in range(rng.randint(1, 9)):
+                c[rng.randrange(len(c))] = f"x{rng.randrange(99)}"
+    rows = [(i, " ".join(w), "en", "a") for i, w in enumerate(rows)] + ODD
+    own = [set(zip(*[(t or "").split()[k:] for k in range(5)])) or {(t or "").strip()} for _, t, _, _ in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    kept = simhash.keep_one(docs(spark, rows), group=jaccard.grouped, name=lambda t: jaccard.name(jaccard.shingle_set(t)))
+    texts = sorted(r.text or "" for r in kept.collect())
+    assert len(texts) == len(set(group)) < simhash.keep_one(docs(spark, rows)).count()
+
+
 def test_cells_bound_and_hot_cell():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 500).astype(np.uint64)
