@@ -564,7 +564,7 @@ def validate_submission(spark, d):
 
 @query()
 def normalize_text(spark, d):
-    return tx.build_keys(records(spark, d))
+    return tx.build_keys(records(spark, d, whole=True))
 
 
 @query(r"select entity_id, addr, nullif(regexp_extract(addr,'\d+'),'') as num from k", "k")
@@ -574,12 +574,12 @@ def address_numbers(spark, d):
 
 @query()
 def skeletons(spark, d):
-    return tx.build_keys(records(spark, d)).select("entity_id", tx.text_udf(tx.skeleton)("name_core").alias("skeleton"))
+    return tx.build_keys(records(spark, d, whole=True)).select("entity_id", tx.text_udf(tx.skeleton)("name_core").alias("skeleton"))
 
 
 @query()
 def scripts(spark, d):
-    return records(spark, d).select("entity_id", F.array_join(tx.text_udf(tx.scripts_of, "array<string>")("business_name"), ",").alias("scripts"))
+    return records(spark, d, whole=True).select("entity_id", F.array_join(tx.text_udf(tx.scripts_of, "array<string>")("business_name"), ",").alias("scripts"))
 
 
 def known_pairs(spark, d):

@@ -12,21 +12,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity_id, business_name, business_address, country, owner."""
+def records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """entity_id, business_name, business_address, country, owner.
+
+    A name is the text's first four words and an address the next five; whole: the whole text, and all from the fifth word."""
     text = F.regexp_replace("text", "[ \n\t\r]+", " ")
+    ws = F.filter(F.split(text, " "), lambda x: x != "")
     w = table(spark, sf_dir, "documents").select(
         "doc_id", "lang", F.regexp_replace(F.lower(F.left("text", F.lit(60))), "[^a-z]+", "").alias("g"),
-        F.slice(F.filter(F.split(text, " "), lambda x: x != ""), 1, 9).alias("ws"),
+        (ws if whole else F.slice(ws, 1, 9)).alias("ws"),
     )
     first = w.groupBy(F.col("lang").alias("l"), F.col("g").alias("h")).agg(F.min("doc_id").alias("m"), F.count("*").alias("n"))
     r = w.join(first, F.col("lang").eqNullSafe(F.col("l")) & (F.col("g") == F.col("h")))
     size = lambda i: F.length(F.coalesce(F.try_element_at("ws", F.lit(i)), F.lit("")))
+    name, rest = (F.col("ws"), F.slice("ws", F.lit(5), F.greatest(F.size("ws"), F.lit(0)))) if whole else (F.slice("ws", 1, 4), F.slice("ws", 5, 5))
     own = F.when((F.col("doc_id") == F.col("m")) & ~((F.col("n") == 1) & (F.col("doc_id") % 5 == 0)), "S1-").when(F.col("doc_id") % 2 == 0, "S2-").otherwise("S3-")
     return r.select(
         F.concat(own, F.col("doc_id").cast("string")).alias("entity_id"),
-        F.array_join(F.slice("ws", 1, 4), " ").alias("business_name"),
-        F.concat(((size(5) * 37 + size(6)) % 500 + 1).cast("string"), F.lit(" "), F.array_join(F.slice("ws", 5, 5), " ")).alias("business_address"),
+        F.array_join(name, " ").alias("business_name"),
+        F.concat(((size(5) * 37 + size(6)) % 500 + 1).cast("string"), F.lit(" "), F.array_join(rest, " ")).alias("business_address"),
         F.col("lang").alias("country"),
         F.when(F.col("n") > 1, F.concat(F.lit("S1-"), F.col("m").cast("string"))).alias("owner"),
     )

@@ -110,3 +110,11 @@ def test_whole_queries_keep_groups_of_copies(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     q = {n: catalogue.QUERIES[n](spark, str(tmp_path)) for n in ("candidates_topk", "candidates_topk_whole", "exact_key_blocking_whole", "token_idf_blocking_whole", "adaptive_cut_whole", "pair_features_all")}
     assert {n: df.count() for n, df in q.items()} == {"candidates_topk": 0, "candidates_topk_whole": 11, "exact_key_blocking_whole": 11, "token_idf_blocking_whole": 11, "adaptive_cut_whole": 10, "pair_features_all": 10}
+
+
+def test_text_queries_read_whole_texts(spark, tmp_path):
+    rows = [(1, " ".join(f"velm{chr(97 + i)}" for i in range(20)) + " आदित्य lastword", "en", "a", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    q = {n: catalogue.QUERIES[n](spark, str(tmp_path)).first() for n in ("normalize_text", "skeletons", "scripts")}
+    assert "lastword" in q["normalize_text"].name_v2 and "lastword" in q["normalize_text"].addr_v2
+    assert len(q["skeletons"].skeleton) > 40 and q["scripts"].scripts == "DEVANAGARI"
