@@ -23,7 +23,7 @@ def records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
         (ws if whole else F.slice(ws, 1, 9)).alias("ws"),
     )
     first = w.groupBy(F.col("lang").alias("l"), F.col("g").alias("h")).agg(F.min("doc_id").alias("m"), F.count("*").alias("n"))
-    r = w.join(first, F.col("lang").eqNullSafe(F.col("l")) & (F.col("g") == F.col("h")))
+    r = w.join(first, F.col("lang").eqNullSafe(F.col("l")) & F.col("g").eqNullSafe(F.col("h")))
     size = lambda i: F.length(F.coalesce(F.try_element_at("ws", F.lit(i)), F.lit("")))
     name, rest = (F.col("ws"), F.slice("ws", F.lit(5), F.greatest(F.size("ws"), F.lit(0)))) if whole else (F.slice("ws", 1, 4), F.slice("ws", 5, 5))
     own = F.when((F.col("doc_id") == F.col("m")) & ~((F.col("n") == 1) & (F.col("doc_id") % 5 == 0)), "S1-").when(F.col("doc_id") % 2 == 0, "S2-").otherwise("S3-")

@@ -118,3 +118,14 @@ def test_text_queries_read_whole_texts(spark, tmp_path):
     q = {n: catalogue.QUERIES[n](spark, str(tmp_path)).first() for n in ("normalize_text", "skeletons", "scripts")}
     assert "lastword" in q["normalize_text"].name_v2 and "lastword" in q["normalize_text"].addr_v2
     assert len(q["skeletons"].skeleton) > 40 and q["scripts"].scripts == "DEVANAGARI"
+
+
+def test_null_texts_stay_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, None, "en"), (2, None, "en"), (3, "one two three four five six", "en")], "doc_id long, text string, lang string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}/*.parquet'")
+    want = sorted(con.execute(catalogue.ORACLES["entity_ids"]).fetchall())
+    assert sorted(map(tuple, catalogue.QUERIES["entity_ids"](spark, str(tmp_path)).collect())) == want and len(want) == 3
