@@ -69,56 +69,106 @@ def test_mix_odd_rows(spark):
 
 
 def vectors(spark, n=300, d=8, seed=1, kind="float"):
+    """Rows (id, vector) that take part, odd ones, and the table of all: ids repeat with equal and with other vectors."""
     rng = np.random.default_rng(seed)
     v = rng.standard_normal((n, d)).round(1)
     v[10:14] = v[0]
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
-    rows += [(n, None), (n + 1, []), (n + 2, [float("nan")] * d), (n + 3, [None] * d), (None, [1.0] * d), (n + 4, [float("inf")] * d), (n + 5, [0.0] * d), (0, rows[0][1])]
-    return spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), np.append(v, np.zeros((1, d)), axis=0), [*range(n), n + 5]
-
-
-def test_top_k_is_brute_force(spark):
-    df, v, ids = vectors(spark)
-    x = np.floor(256 * v.astype(np.float32).astype(float)).astype(np.int64)
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.exact_top_k(df).collect()}
-    want = {}
-    for i, q in zip(ids, x):
-        if i % 50 == 0:
-            best = sorted((-int(s), j) for j, s in zip(ids, x @ q) if j != i)[:5]
-            want |= {(i, r + 1): (j, -s) for r, (s, j) in enumerate(best)}
+    rows += [(n + 5, [0.0] * d), (0, rows[0][1]), (1, rows[9][1]), (1, [9.0] * d), (50, [7.0] * d), (3, [2.0] * (d - 3)), (4, [1.5] * (d + 2))]
+    odd = [(n, None), (n + 2, [float("nan")] * d), (n + 3, [None] * d), (None, [1.0] * d), (n + 4, [float("inf")] * d)]
+    return spark.createDataFrame(rows + odd, f"vec_id long, embedding array<{kind}>"), rows
+
+
+def padded(rows):
+    w = max(len(v) for _, v in rows)
+    return np.array([i for i, _ in rows]), np.array([np.pad(np.float32(v).astype(float), (0, w - len(v))) for _, v in rows])
+
+
+@pytest.mark.parametrize("size", [16_384, 64])
+def test_top_k_is_brute_force(spark, size):
+    df, rows = vectors(spark)
+    rows = [*rows, (301, [])]
+    df = df.unionByName(spark.createDataFrame([(301, [])], df.schema))
+    ids, x = padded(rows)
+    x = np.floor(256 * x).astype(np.int64)
+    got = sorted(tuple(r) for r in topk.exact_top_k(df, data_rows=size, query_rows=3).select("query_id", "rank", "score", "vec_id").collect())
+    want = []
+    for q in sorted({i for i in ids.tolist() if i % 50 == 0}):
+        pairs = [(-int(s), j) for v in x[ids == q] for s, j in zip(x @ v, ids.tolist()) if j != q]
+        want += [(q, r + 1, -s, j) for r, (s, j) in enumerate(sorted(pairs)[:5])]
     assert got == want
 
 
-def test_threshold_stops_early_and_huge_values(spark):
+def test_top_k_is_its_sql(spark, tmp_path):
+    import duckdb
+
+    from cairn.llm import queries
+
+    df, _ = vectors(spark, 400)
+    df.write.parquet(path := str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{path}/*.parquet'")
+    cur = con.execute(queries.ORACLES["op2_threshold_top_k"])
+    names = [c[0] for c in cur.description]
+    assert sorted(tuple(r) for r in queries.op2_threshold_top_k(spark, str(tmp_path)).select(names).collect()) == sorted(cur.fetchall())
+
+
+def test_threshold_spares_most_rows_and_huge_values(spark):
     rows = np.zeros((4096, 4))
     rows[:, 0] = np.arange(4096)
-    order = np.argsort(rows, axis=0, kind="stable")
-    at, score, depth = topk.threshold_search(np.array([1.0, 0, 0, 0]), -1, np.arange(4096), rows, order, 3)
-    assert at.tolist() == [4095, 4094, 4093] and depth < 100
+    order = topk.sorted_lists(rows)
+    none = (np.empty(0, np.int64), np.empty(0))
+    (at, score), scored = topk.threshold_search(np.array([1.0, 0, 0, 0]), -1, np.arange(4096), rows, order, np.sort(rows, axis=0).T, 3, none)
+    assert at.tolist() == [4095, 4094, 4093] and scored < 500
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((8192, 64))
+    v = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True))
+    order, total, best = topk.sorted_lists(v), 0, None
+    values, ids = np.take_along_axis(v.T, order, axis=1), np.arange(8192)
+    for q in range(0, 400, 50):
+        best, scored = topk.threshold_search(v[q], q, ids, v, order, values, 5, none)
+        total += scored
+        want = sorted((-s, i) for i, s in enumerate((v @ v[q]).tolist()) if i != q)[:5]
+        assert [(-s, i) for i, s in zip(*(x.tolist() for x in best))] == want
+    assert total < 0.5 * 8 * 8192
     df = spark.createDataFrame([(0, [1e200]), (1, [1e200, 5.0]), (2, [-1e200])], "vec_id long, embedding array<double>")
     assert [r.score for r in topk.exact_top_k(df).orderBy("rank").collect()] == [2**63 - 1, -(2**63)]
     assert topk.exact_top_k(df.limit(0)).count() == 0 and topk.exact_top_k(df.where("vec_id = 0")).count() == 0
 
 
-def test_ann_recall_ties_and_empty(spark):
-    df, v, ids = vectors(spark, 2000, 32)
-    got = {}
-    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    v, ids = v[:-1], ids[:-1]
+@pytest.mark.parametrize("size", [16_384, 256])
+def test_ann_recall_ties_and_empty(spark, size):
+    df, rows = vectors(spark, 2000, 32)
+    ids, v = padded([r for r in rows if any(r[1])])
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = {}
+    for r in ann.nearest(df, data_rows=size).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
     hits = []
-    for i in ids:
-        if i % 50 == 0:
-            best = sorted((-s, j) for j, s in zip(ids, (u @ u[i]).round(12)) if j != i)[:5]
-            hits += [j in {x for x, _ in got[i]} for _, j in best]
-            assert all(abs(s - u[i] @ u[j]) < 1e-6 for j, s in got[i]) and len(got[i]) == 5
+    for q in sorted({i for i in ids.tolist() if i % 50 == 0}):
+        sims = np.concatenate([u @ x for x in u[ids == q]])
+        other = [(s, j) for s, j in zip(sims.tolist(), ids.tolist() * int((ids == q).sum())) if j != q]
+        best = sorted((-round(s, 9), j) for s, j in other)[:5]
+        hits += [(round(s, 9), j) in {(round(-b, 9), j) for b, j in best} for s, j in got[q]]
+        assert len(got[q]) == 5 and all(min(abs(s - t) for t, i in other if i == j) < 1e-6 for s, j in got[q])
     assert np.mean(hits) >= 0.9
-    assert [j for j, _ in got[0]][:4] == [10, 11, 12, 13]
+    assert [j for _, j in got[0]][:4] == [10, 10, 11, 11]
     assert ann.nearest(df.limit(0)).count() == 0
+    assert ann.nearest(df.where("vec_id in (0, 1, 2)").where("vec_id > 0 or embedding is not null")).where("query_id = 0").count() == 5
     assert blocks.top(np.array([5, 3, 9]), np.array([1.0, 1.0, 2.0]), 2).tolist() == [2, 1]
 
 
+def test_ann_verifies_a_small_share():
+    rng = np.random.default_rng(7)
+    v = ann.unit(rng.standard_normal((8192, 64)))
+    at = np.arange(0, 8192, 256)
+    order = np.argsort(v @ ann.lines(64), axis=0, kind="stable").T
+    best = [(np.empty(0, np.int64), np.empty(0)) for _ in at]
+    verified = ann.block_search(at, v[at], np.arange(8192), v, order, 64, 5, best)
+    right = [len(set(np.argsort(-(v @ v[q]), kind="stable")[1:6].tolist()) & set(b[0].tolist())) for q, b in zip(at, best)]
+    assert sum(right) >= 0.9 * 5 * len(at) and verified < 0.5 * len(at) * 8192
+
+
 # --- 3
 
 
