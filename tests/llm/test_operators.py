@@ -1,3 +1,4 @@
+import dataclasses
 import random
 import zlib
 
@@ -166,7 +167,7 @@ def test_ann_verifies_a_small_share():
     best = [(np.empty(0, np.int64), np.empty(0)) for _ in at]
     verified = ann.block_search(at, v[at], np.arange(8192), v, order, 64, 5, best)
     right = [len(set(np.argsort(-(v @ v[q]), kind="stable")[1:6].tolist()) & set(b[0].tolist())) for q, b in zip(at, best)]
-    assert sum(right) >= 0.9 * 5 * len(at) and verified < 0.5 * len(at) * 8192
+    assert sum(right) >= 0.9 * 5 * len(at) and verified < 0.3 * len(at) * 8192
 
 
 # --- 3
@@ -234,7 +235,14 @@ def model():
     return sentences.Model.load(tokenizer_path("piece_bpe_32k.model"))
 
 
-def test_viterbi_is_brute_force_and_round_trips(model):
+@pytest.fixture(scope="module")
+def unigram(model):
+    """The same pieces with scores that add up."""
+    return dataclasses.replace(model, bpe=False, ready={})
+
+
+def test_viterbi_is_brute_force_and_round_trips(unigram):
+    model = unigram
     rng = random.Random(5)
     score = {p: s for p, s, k in zip(model.pieces, model.scores, model.kinds) if k == "n"}
     unknown = min(score.values()) - 10
@@ -257,6 +265,29 @@ def test_viterbi_is_brute_force_and_round_trips(model):
         assert abs(cost - best[-1]) < 1e-3
 
 
+def test_ids_are_the_librarys(model):
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(15)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    texts += [pick("theandof éñ\n.,12ß▁  中文a\t🎉", rng.randint(0, 200)) for _ in range(500)]
+    texts += [pick("abcdeinorst", rng.randint(40, 900)) for _ in range(50)]
+    texts += ["a" * 30_000, "ab" * 20_000, pick("中文字符的是不我一有大在人了", 50_000), "international business machines", " ", "  ", "a\0b"]
+    for t, got in zip(texts, sentences.encode(texts, model)):
+        assert np.frombuffer(got, "<i4").tolist() == lib.encode(t)
+    for t in texts[-60:]:
+        assert sentences.decode(lib.encode(t), model) == t.replace("▁", " ")
+
+
+def test_files_that_normalize_use_the_librarys_normalizer(model):
+    other = dataclasses.replace(model, proto=open(tokenizer_path("piece_bpe_32k.model"), "rb").read(), ready={})
+    texts = ["", " ", "two  words", "é x"]
+    assert sentences.encode(texts, other) == sentences.encode(texts, model)
+
+
 def _one_char(model, ids):
     try:
         return len(bytes(int(model.pieces[i][3:5], 16) for i in ids).decode()) == 1
