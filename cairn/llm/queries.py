@@ -18,8 +18,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mix(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op2_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,42 @@ def test_mix_odd_rows(spark):
     assert out.count() == mixing.mix(docs(spark, ODD)).agg(F.sum("copies")).first()[0]
 
 
+def test_pivot_keeps_sums_and_expectations():
+    rng = np.random.default_rng(12)
+    for n, heavy in ((60, 1), (40, 3), (1, 0), (7, 2)):
+        w = np.sort(np.concatenate((rng.integers(1, 400, n), rng.integers(1000, 9000, heavy), [0])))[::-1].astype(float)
+        for pooled in (True, False):
+            w = w if pooled else w[w > 0]
+            p = np.full(len(w), rng.uniform(0.2, 0.8)) if pooled else rng.uniform(0.2, 0.8, len(w))
+            total = np.zeros(len(w))
+            for seed in range(3000):
+                u = np.random.default_rng([seed, n]).random(len(w)).tolist()
+                x = mixing.pivot(p[0], w.tolist(), u) if pooled else mixing.pair(p.tolist(), w.tolist(), u)
+                assert sum(0 < v < 1 for v in x) <= 1 and all(0 <= v <= 1 for v in x) and abs(w @ x - w @ p) < 1e-6 * w.sum()
+                total += x
+            assert (np.abs(total / 3000 - p) < 4.5 * np.sqrt(p * (1 - p) / 3000)).all()
+
+
+def test_mix_comes_near_targets(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text").cache()
+    miss = []
+    for seed in range(4):
+        rows = mixing.mix(d, seed=seed).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()
+        miss += [abs(r.n / r.t - 1) for r in rows]
+    d.unpersist()
+    assert np.mean(np.array(miss) < 0.02) >= 0.95 and np.mean(miss) < 0.01
+
+
+def test_apply_mix_keeps_values_under_any_name(spark):
+    rows = [(i, "w " * (5 + i % 7), "a" if i % 3 else "b", i, i, i, i, i, str(i)) for i in range(200)]
+    names = ["doc_id", "text", "source", "__size", "__copies", "__source_size", "copies", "size", "a.b"]
+    d = spark.createDataFrame(rows, names)
+    out = mixing.apply_mix(d)
+    assert out.columns == names and out.schema == d.schema
+    assert {tuple(r) for r in out.collect()} <= set(rows) and out.select("doc_id").distinct().count() > 50
+    assert mixing.mix(d).columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+
+
 # --- 2 and 6
 
 
