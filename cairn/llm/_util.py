@@ -13,10 +13,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); where unset, as in tests, one is made."""
+    """The folder that all executors share (spark.checkpoint.dir); where unset on a local master, as in tests, one is made."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not (own := spark.conf.get("cairn.shared.dir", None)):
         own = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("cairn.shared.dir", own)
@@ -62,8 +65,9 @@ def n_words(text: str = "text") -> Column:
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of edges (a long, b long) -> (node, root), root being the component's least node.
 
-    Alternates large-star and small-star; every round is two joins on the edges that are left, written to the
-    shared folder. Nodes without an edge don't appear.
+    Alternates large-star and small-star; every round is two joins on the edges that are left, written to the shared folder.
+    Both sides of a join are written tables, so that adaptive plans can split a node with many edges. Nodes without an edge
+    don't appear.
     """
     now = materialize(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), name)
 
@@ -73,13 +77,15 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     old = mark(now)
     while old[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), name)
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large, name)
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(low, "a").selectExpr("stack(2, b, m, a, m) AS (a, b)").where("a <> b").distinct()
         small = small.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
         new = materialize(small, name)
-        release(now)
+        for done in (now, least, large, low):
+            release(done)
         now, seen = new, mark(new)
         if seen == old:
             break

@@ -3,8 +3,8 @@
 A 64-bit fingerprint is mapped to the bit counts of its 2-bit segments, a point of {0,1,2}^32. The Manhattan
 distance of two points is a lower bound of the Hamming distance. If that is at most r, one half of the segments is
 within r // 2, and then the two halves share a cell of the grid when each takes its own cell and all cells within
-ceil(r / 4) steps. Rows that meet in a cell are verified bit by bit. Equal
-fingerprints are one row before the join, and a cell gives a spanning star of each cluster, not its pairs.
+ceil(r / 4) steps. Rows that meet in a cell and whose points are within r by Manhattan distance are verified bit by bit.
+Equal fingerprints are one row before the join, and a cell gives a spanning star of each cluster, not its pairs.
 """
 
 from __future__ import annotations
@@ -88,59 +88,73 @@ def cells(fps: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(every), np.concatenate(rows)
 
 
+def points(u: np.ndarray) -> np.ndarray:
+    """The popcount points of fingerprints, each count in unary (0: 00, 1: 01, 2: 11), so that distances are bit counts."""
+    low, high = np.uint64(0x5555555555555555), np.uint64(0xAAAAAAAAAAAAAAAA)
+    either, both = (u | (u >> np.uint64(1))) & low, (u & (u << np.uint64(1))) & high
+    return either | both
+
+
 def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of the popcount points of fingerprints; at most their Hamming distance."""
-    m = np.uint64(0x5555555555555555)
-    total = np.zeros(np.broadcast(a, b).shape, np.int64)
-    x, y = (a & m) + ((a >> np.uint64(1)) & m), (b & m) + ((b >> np.uint64(1)) & m)
-    lo = np.uint64(0x3333333333333333)
-    for k in (0, 2):  # counts in nibbles: |p - q| of values 0..2 is (p ^ q) as 0, 1, 2 or 3 for 1 against 2
-        d = ((x >> np.uint64(k)) & lo) ^ ((y >> np.uint64(k)) & lo)
-        three = d & (d >> np.uint64(1)) & np.uint64(0x1111111111111111)
-        one = (d & np.uint64(0x1111111111111111)) & ~three
-        two = ((d >> np.uint64(1)) & np.uint64(0x1111111111111111)) & ~three
-        total += np.bitwise_count(one | three).astype(np.int64) + 2 * np.bitwise_count(two).astype(np.int64)
-    return total
+    """Distance of points(); at most the Hamming distance of their fingerprints."""
+    return np.bitwise_count(a ^ b)
 
 
-def near(a: np.ndarray, b: np.ndarray, r: int) -> np.ndarray:
-    """Exact; whatever is near is also within r by manhattan()."""
-    return np.bitwise_count(a ^ b) <= r
+def near(u: np.ndarray, p: np.ndarray, i, j, r: int) -> np.ndarray:
+    """Which of the pairs (i, j) are within r bits: the lower bound by their points p first, then exactly."""
+    out = manhattan(p[i], p[j]) <= r
+    at = np.flatnonzero(out)
+    i, j = (np.broadcast_to(x, out.shape)[at] for x in (i, j))
+    out[at] = np.bitwise_count(u[i] ^ u[j]) <= r
+    return out
 
 
 def stars(cell: np.ndarray, fp: np.ndarray, r: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by cell -> links (from, to) that connect, within each cell, all that are linked there."""
+    """Rows sorted by cell -> links (from, to): within each cell every row but one of a cluster is linked to that one."""
     u = fp.view(np.uint64)
+    p = points(u)
     cut = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
     run = np.diff(cut)
-    out_a, out_b = [], []
     start, length = np.repeat(cut[:-1], run), np.repeat(run, run)
     at = np.arange(len(u))
     ends = start + length
     few = length <= small
+    x, y = [at[:0]], [at[:0]]
     for d in range(1, small):
         i = np.flatnonzero(few & (at + d < ends))
         if not len(i):
             break
-        i = i[near(u[i], u[i + d], r)]
-        out_a.append(fp[i])
-        out_b.append(fp[i + d])
+        i = i[near(u, p, i, i + d, r)]
+        x.append(i)
+        y.append(i + d)
+    x, y = np.concatenate(x), np.concatenate(y)
+    root = at.copy()
+    while len(x):  # the least row that the pairs of a cell connect a row with
+        least = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        if (new == root).all():
+            break
+        root = new
+    linked = np.flatnonzero(root != at)
+    out_a, out_b = [fp[root[linked]]], [fp[linked]]
     for s, n in zip(cut[:-1][run > small].tolist(), run[run > small].tolist()):  # search from one to all not yet seen
         own = np.unique(u[s : s + n])
-        todo = own
+        own_p = points(own)
+        todo = np.arange(len(own))
         while len(todo):
-            root, front, todo = todo[0], [todo[0]], todo[1:]
-            got = []
+            first, front, todo = todo[0], [todo[0]], todo[1:]
+            got = [todo[:0]]
             while front and len(todo):
-                hit = near(todo, front.pop(), r)
+                hit = near(own, own_p, todo, front.pop(), r)
                 got.append(todo[hit])
-                front.extend(todo[hit])
+                front.extend(todo[hit].tolist())
                 todo = todo[~hit]
-            got = np.concatenate(got) if got else own[:0]
-            out_a.append(np.full(len(got), root, np.uint64).view(np.int64))
-            out_b.append(got.view(np.int64))
-    none = np.empty(0, np.int64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+            got = np.concatenate(got)
+            out_a.append(np.full(len(got), own[first]).view(np.int64))
+            out_b.append(own[got].view(np.int64))
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def links(fps: DataFrame, r: int = 4) -> DataFrame:
@@ -185,19 +199,22 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, r: int) ->
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, r: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest id whose fingerprint is reachable over links
-    of at most r bits. One row per input row.
+    of at most r bits. One row per input row, repeated ones too; an empty table gives no rows.
 
     Null and blank texts have fingerprint 0 and are linked like any other. Null ids are kept and never are a
-    component_id unless all ids of a component are null (then it is null). Other columns are ignored."""
+    component_id unless all ids of a component are null (then it is null). Other columns are ignored, whatever their names.
+    What joins on a root or fingerprint is written first, so that adaptive plans can split a key that holds many rows."""
     prints, roots = grouped(docs, id_col, text_col, words, r)
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
-    of = roots.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    out = prints.join(of, "fp")
+    each = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-least")
+    least = each.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    of = roots.join(materialize(least, "simhash-components"), "root").select("fp", "component_id")
+    out = prints.join(materialize(of, "simhash-of"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 4, r: int = 4, group: Callable | None = None, name: Callable | None = None) -> DataFrame:
-    """docs (doc_id, text and any other columns, which stay) without near-duplicates: one row of each component.
+    """docs (doc_id, text and any other columns, which stay, whatever their names) without near-duplicates: one row of each
+    component.
 
     The row with the smallest id stays, null ids last; of rows that share an id and a component, that with the
     smallest fingerprint, then text hash. Texts are shuffled once, by their ids, at every size. group(docs) and name(text)
@@ -205,25 +222,26 @@ def keep_one(docs: DataFrame, words: int = 4, r: int = 4, group: Callable | None
     name = name or (lambda t: fingerprint(t, words))
     prints, roots = group(docs) if group else grouped(docs, "doc_id", "text", words, r)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w")
-    kept = materialize(prints.join(roots, "fp").groupBy("root").agg(first).select(F.col("w.doc_id").alias("w_id"), F.col("w.fp").alias("w_fp")), "simhash-kept")
+    kept = prints.join(roots, "fp").groupBy("root").agg(first).select(F.col("w.doc_id").alias("w_id"), F.col("w.fp").alias("w_fp"))
+    kept = materialize(kept, "simhash-kept")
     shared = materialize(prints.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("s_id")), "simhash-shared")
     same_id = F.col("doc_id").eqNullSafe(F.col("w_id"))
     dropped = prints.join(kept, same_id & (F.col("fp") == F.col("w_fp")), "left_anti").select(F.col("doc_id").alias("d_id")).distinct()
     dropped = materialize(dropped, "simhash-dropped").hint("shuffle_hash")
     is_shared = F.col("doc_id").eqNullSafe(F.col("s_id"))
-    rest = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("d_id")), "left_anti")
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     if shared.isEmpty():
-        return rest
-    rest = docs.join(shared.hint("shuffle_hash"), is_shared, "left_anti").join(dropped, F.col("doc_id").eqNullSafe(F.col("d_id")), "left_anti")
-    again = docs.join(shared.hint("shuffle_hash"), is_shared, "left_semi")  # ids that don't say which row is meant: by fingerprint too
-    text = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+        return rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("d_id")), "left_anti").select("row.*")
+    rest = rows.join(shared.hint("shuffle_hash"), is_shared, "left_anti").join(dropped, F.col("doc_id").eqNullSafe(F.col("d_id")), "left_anti")
+    again = rows.join(shared.hint("shuffle_hash"), is_shared, "left_semi")  # ids that don't say which row is meant: by fingerprint too
+    schema = T.StructType([*again.schema.fields, T.StructField("fp", T.LongType())])
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((name(t) for t in b.column(text).to_pylist()), np.uint64, b.num_rows)
+            fps = np.fromiter((name(t) for t in b.column(1).field("text").to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=schema.names)
 
-    order = Window.partitionBy("doc_id", "__fp").orderBy(F.xxhash64("text"), "text")
-    again = again.mapInArrow(run, schema).join(kept, same_id & (F.col("__fp") == F.col("w_fp")), "left_semi")
-    return rest.unionByName(again.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns))
+    order = Window.partitionBy("doc_id", "fp").orderBy(F.xxhash64("row.text"), "row.text")
+    again = again.mapInArrow(run, schema).join(kept, same_id & (F.col("fp") == F.col("w_fp")), "left_semi")
+    again = again.withColumn("n", F.row_number().over(order)).where("n = 1")
+    return rest.select("row").unionByName(again.select("row")).select("row.*")

@@ -443,7 +443,10 @@ def test_cells_bound_and_hot_cell():
     for k in range(500):
         for bit in rng.choice(64, 4, replace=False):
             b[k] ^= np.uint64(1) << np.uint64(bit)
-    assert (simhash.manhattan(a, b) <= np.bitwise_count(a ^ b)).all()
+    pa, pb = simhash.points(a), simhash.points(b)
+    assert (simhash.manhattan(pa, pb) <= np.bitwise_count(a ^ b)).all()
+    counts = [[(int(v) >> 2 * k & 3).bit_count() for k in range(32)] for v in a[:50]]
+    assert simhash.manhattan(pa[:49], pa[1:50]).tolist() == [sum(abs(p - q) for p, q in zip(x, y)) for x, y in zip(counts, counts[1:])]
     for x, y in zip(a[:100], b[:100]):
         cx, cy = (set(simhash.cells(np.array([v]).view(np.int64), 1)[0].tolist()) for v in (x, y))
         assert cx & cy
@@ -452,6 +455,22 @@ def test_cells_bound_and_hot_cell():
     assert len(set(p.tolist())) == 1 and len(q) == len(hot) - 1
 
 
+def test_small_cell_gives_a_star():
+    u = np.sort(np.array([5 ^ (1 << i) for i in range(20)] + [0xFF << 40, (0xFF << 40) | 7], np.uint64)).view(np.int64)
+    p, q = simhash.stars(np.zeros(len(u), np.int64), u, 4)
+    assert len(q) == 20 and len(set(p.tolist())) == 2
+
+
+def test_keep_one_keeps_values_under_any_name(spark):
+    rows = [(i, f"text number {i // 2} of many words here {i // 2}", *[i] * 7, str(i)) for i in range(20)] + [(3, "other text altogether", *[3] * 7, "3")]
+    names = ["doc_id", "text", "d_id", "w_id", "s_id", "__fp", "fp", "row", "n", "a.b"]
+    d = spark.createDataFrame(rows, names)
+    for part in (d.where("text not like 'other%'"), d):
+        out = simhash.keep_one(part)
+        assert out.schema == d.schema and {tuple(r) for r in out.collect()} <= set(rows)
+        assert out.count() == simhash.near_duplicates(part).select("component_id").distinct().count()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
