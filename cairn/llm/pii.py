@@ -4,8 +4,10 @@ Found and validated values - cards (Luhn), IBANs (mod 97), social security numbe
 addresses, dates, keys and passwords - are mapped within their own format: the value is a number in a mixed radix,
 one digit per free character, a Feistel network with HMAC rounds permutes [0, N) by cycle walking, and the image is
 written in the same layout with the same check digits. So equal values get equal pseudonyms in all documents, whatever
-their separators, and who holds the key can go back. What fails its validation stays as it is; telephone numbers and IPv4
-addresses are valid by their layout, whether or not such a number can be assigned.
+their separators - a day the same one in all layouts of dates - and who holds the key can go back. What fails its validation
+stays as it is; telephone numbers and IPv4 addresses are valid by their layout, whether or not such a number can be assigned,
+but not after words that say they are something else (a version, an ISBN). Of e-mail addresses the part before the @ is
+mapped and the domain stays in clear, a personal domain too. The key has no default: see key_of().
 """
 
 from __future__ import annotations
@@ -13,17 +15,26 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import os
 import re
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-KEY = b"replace this key in production"
+KEY_NAME = "spark.cairn.pii.key"  # of the session's configuration; or CAIRN_PII_KEY of the driver's environment
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+def key_of(spark: SparkSession, default: bytes | None = None) -> bytes:
+    """The configured key, or default; raises if there is neither."""
+    key = spark.conf.get(KEY_NAME, None) or os.environ.get("CAIRN_PII_KEY")
+    if not key and default is None:
+        raise ValueError(f"set {KEY_NAME} or CAIRN_PII_KEY")
+    return key.encode() if key else default
+
+
 @lru_cache(1 << 16)
 def permute(x: int, n: int, key: bytes, tweak: str, back: bool = False) -> int:
     """A keyed permutation of [0, n), different for each tweak; back undoes it."""
@@ -116,7 +127,7 @@ def phone(text: str, key: bytes, back: bool) -> str | None:
 
 def ipv4(text: str, key: bytes, back: bool) -> str | None:
     o = list(map(int, text.split(".")))
-    if max(o) > 255:
+    if max(o) > 255 or re.search(r"\b0[0-9]", text):  # 10.000.000.000 is a number in groups
         return None
     return ".".join(map(str, mixed(o, [256] * 4, key, "ipv4", back)))
 
@@ -158,12 +169,13 @@ MONTHS = "january february march april may june july august september october no
 
 def date(text: str, key: bytes, back: bool) -> str | None:
     """A valid day of 1900-2099 in a numeric or English layout; the day of an ambiguous layout is read month first where
-    that is valid. The image keeps order, separators and the month's style, and the widths of day and month where they fit: the
+    that is valid. Days up to the 12th have such images, and so have later ones, so that the image reads as the same day in every
+    layout. The image keeps order, separators and the month's style, and the widths of day and month where they fit: the
     way back gives the same day, though perhaps with a zero before it, or May's month in the other style."""
     parts = re.split(r"([^0-9A-Za-z]+)", text)
     fields, seps = parts[::2], parts[1::2]
     word = next((i for i, f in enumerate(fields) if f.isalpha()), None)
-    orders = ["ymd"] if len(fields[0]) == 4 else ["mdy"] if word == 0 else ["dmy"] if word == 1 else ["mdy", "dmy"]
+    orders = ["ymd"] if len(fields[0]) == 4 and word is None else ["mdy"] if word == 0 else ["dmy"] if word == 1 else ["mdy", "dmy"]
     for order in orders:
         f = dict(zip(order, fields))
         month = next((i + 1 for i, m in enumerate(MONTHS) if word is not None and m.startswith(f["m"].lower())), 0) if word is not None else int(f["m"])
@@ -176,16 +188,12 @@ def date(text: str, key: bytes, back: bool) -> str | None:
     else:
         return None
     span = LAST_DAY - FIRST_DAY + 1
-    if word is None and order != "ymd":  # an image of the other kind of layout would be read back otherwise
-        ambiguous = int(f["d"]) <= 12
-        pick = (lambda d: d.day <= 12) if ambiguous else (lambda d: d.day > 12)
-    else:
-        pick = lambda d: True
+    early = int(f["d"]) <= 12
     x = day - FIRST_DAY
     while True:
         x = permute(x, span, key, "date", back)
         new = datetime.date.fromordinal(FIRST_DAY + x)
-        if pick(new):
+        if (new.day <= 12) == early:
             break
     values = {"y": f"{new.year:04d}", "m": f"{new.month:0{len(f['m'])}d}" if word is None else _styled(f["m"], new.month), "d": f"{new.day:0{len(f['d'])}d}"}
     out = [values[c] for c in order]
@@ -212,20 +220,27 @@ KINDS = [
 ]
 _HINT = re.compile(r"[0-9@]|AKIA|(?i:password|passwd|token|secret|api_?key)")
 _PATTERNS = [(kind, f, re.compile(p)) for kind, f, p in KINDS]
+#: What a value is not after such words, in the text just before it.
+_NOT_AFTER = {"ipv4": re.compile(r"(?i:\b(?:version|release|build|ver|v)[.:]?\s*)\Z"), "phone": re.compile(r"(?i:\b(?:isbn|issn|ean|isbn-1[03])[.:]?\s*)\Z")}
+_BEFORE = 16
 
 
-def pseudonymise(text: str | None, key: bytes = KEY, back: bool = False) -> tuple[str | None, int]:
-    """The text with its values mapped, and their number. A place is claimed by the first kind that validates there;
-    nothing claimed is looked at again. Null stays null."""
+def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, int]:
+    """The text with its values mapped, and their number, in time linear in the text. A place is claimed by the first kind that
+    validates there; nothing claimed is looked at again. Null stays null."""
     if not text or not _HINT.search(text):
         return text, 0
     spans: list[tuple[int, int, str]] = []
-    for _, f, pattern in _PATTERNS:
+    claimed = bytearray(len(text))
+    for kind, f, pattern in _PATTERNS:
+        other = _NOT_AFTER.get(kind)
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _ in spans):
+            a, b = m.span()
+            if claimed.find(1, a, b) >= 0 or other and other.search(text[max(0, a - _BEFORE) : a]):
                 continue
             if (new := f(m[0], key, back)) is not None:
-                spans.append((m.start(), m.end(), new))
+                spans.append((a, b, new))
+                claimed[a:b] = b"\1" * (b - a)
     out, at = [], 0
     for a, b, new in sorted(spans):
         out += [text[at:a], new]
@@ -233,9 +248,10 @@ def pseudonymise(text: str | None, key: bytes = KEY, back: bool = False) -> tupl
     return "".join([*out, text[at:]]), len(spans)
 
 
-def pseudonymise_docs(docs: DataFrame, key: bytes = KEY, count: str | None = None) -> DataFrame:
-    """docs with their text mapped, all other columns and all rows as they are; count names a column for the number of
-    values in the text (it must not be there yet). Null and empty texts stay."""
+def pseudonymise_docs(docs: DataFrame, key: bytes, count: str | None = None) -> DataFrame:
+    """docs with their text mapped, all other columns and all rows, repeated ones too, as they are, whatever their names; count
+    names a column for the number of values in the text (it must not be there yet). Null and empty texts stay; an empty
+    table stays empty."""
     from pyspark.sql import types as T
 
     text = docs.columns.index("text")

@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.llm import ann, langid, mixing, pii, quality, sentences, simhash, sst, topk, warc
 
 
+#: For tables that hold no real person's data, where no key is configured: with it anyone can go back.
+OPEN_KEY = b"a key that everyone knows"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,7 +36,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise_docs(docs, count="n_values")
+    return pii.pseudonymise_docs(docs, pii.key_of(spark, OPEN_KEY), count="n_values")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
