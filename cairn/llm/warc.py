@@ -26,6 +26,8 @@ from cairn.llm._util import filesystem, materialize, new_dir
 
 MAGIC = b"WARC/1.0\r\n"
 FILE_BYTES, SPLIT_BYTES = 1 << 30, 1 << 26
+#: Digests that are broadcast at most, and copies that make one of them.
+HOT, HOT_COPIES = 10_000, 1_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -59,15 +61,23 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = F
     """pages (page_id, url, html) -> (file, size) of archives in folder, written already.
 
     A null html is an empty payload. Payloads under min_bytes are all responses. Rows that repeat the largest id
-    with the same payload are all responses; a null id is below all others. Only digests are shuffled, unless so many
-    payloads repeat that their digests can't be broadcast."""
+    with the same payload are all responses; a null id is below all others; other columns are ignored, whatever their names.
+    Only digests are shuffled, unless so many payloads repeat that their digests can't be broadcast; then payloads are dealt by
+    their digest, but for those of the HOT most frequent digests, which are broadcast always."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
     many = rows.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.count("*").alias("copies"), F.max("page_id").alias("of"))
-    many = materialize(many.where("copies > 1").select("sha", "of", F.lit(True).alias("repeated")), "warc-repeats")
-    marked = rows.join(many, "sha", "left")
-    revisit = F.coalesce(F.col("repeated"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("of"))
-    marked = marked.select("page_id", "url", "payload", "of", revisit.alias("revisit"))
+    many = materialize(many.where("copies > 1"), "warc-repeats")
+    hot = many.where(F.col("copies") > HOT_COPIES).orderBy(F.col("copies").desc(), "sha").limit(HOT)
+    hot = F.broadcast(hot.select(F.col("sha").alias("h_sha"), F.col("of").alias("h_of")))
+    cold = many.select(F.col("sha").alias("c_sha"), F.col("of").alias("c_of"))
+    marked = rows.join(hot, F.col("sha") == F.col("h_sha"), "left")
+    found = F.col("h_sha").isNotNull()
+    spread = F.concat(F.lit("~"), F.xxhash64("page_id", "url").cast("string"))  # meets no digest
+    marked = marked.withColumn("dealt", F.when(found, spread).otherwise(F.col("sha"))).join(cold, F.col("dealt") == F.col("c_sha"), "left")
+    of = F.when(found, F.col("h_of")).otherwise(F.col("c_of"))
+    revisit = (found | F.col("c_sha").isNotNull()) & ~F.col("page_id").eqNullSafe(of)
+    marked = marked.select("page_id", "url", "payload", of.alias("of"), revisit.alias("revisit"))
 
     def run(batches):
         fs, root = filesystem(folder)
@@ -152,7 +162,7 @@ def jump(offset: np.ndarray, after: np.ndarray, size: int) -> np.ndarray:
 def read(spark: SparkSession, folder: str, files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(file, size) -> page_id, url, payload_bytes, payload_digest, record_type, refers_to of every record that a file's
     chain reaches but the warcinfo. Digests of responses are computed from their payloads and must agree with the
-    header; a revisit has those of its header."""
+    header, or it raises, as it does for a chain that breaks; a revisit has those of its header."""
     n_splits = F.greatest(F.lit(1), F.ceil(F.col("size") / split_bytes)).cast("int")
     splits = files.where("size > 0").select("file", "size", F.explode(F.sequence(F.lit(0), n_splits - 1)).alias("split"))
     parts = max(1, splits.count())
@@ -183,7 +193,10 @@ def read(spark: SparkSession, folder: str, files: DataFrame, split_bytes: int =
 
     def reach(table: pa.Table) -> pa.Table:
         size = table.column("size")[0].as_py()
-        return table.filter(pa.array(jump(table.column("offset").to_numpy(), table.column("after").to_numpy(), size)))
+        kept = table.filter(pa.array(jump(table.column("offset").to_numpy(), table.column("after").to_numpy(), size)))
+        if "damaged" in kept.column("record_type").to_pylist():
+            raise ValueError("a record's payload is not that of its digest")
+        return kept
 
     found = splits.repartition(parts, "file", "split").mapInArrow(run, schema)
     kept = found.groupBy("file").applyInArrow(reach, schema)
