@@ -123,14 +123,14 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 42) -> dict:
-    """From text and non-null lang of the documents that aren't held out. Sample by a hash of the id, ties by lang
-    and the text's hash."""
+    """From text and non-null lang of the documents that aren't held out. Sample by a hash of the id, ties by
+    lang and the text. Texts without a letter teach nothing. Without any
+    row to learn from nothing is learned."""
     use = docs.select("doc_id", F.col("text").cast("string").alias("t"), "lang").where(F.col("lang").isNotNull() & F.col("t").isNotNull() & ~held_out())
     df, n = frequencies(use)
     idf = np.log((1 + n) / (1 + df)) + 1
-    order = [F.xxhash64("doc_id", F.lit(seed)), "doc_id", "lang", F.xxhash64("t")]
-    cut = use.select(*order[:1], "doc_id", "lang").toDF("h", "doc_id", "lang").orderBy("h", "doc_id", "lang").limit(rows)
-    picked = use.join(F.broadcast(cut.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    cut = use.select(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "lang").distinct().toDF("h", "doc_id", "lang").orderBy("h", "doc_id", "lang").limit(rows)
+    picked = use.join(F.broadcast(cut.select(F.col("doc_id").alias("d"), F.col("lang").alias("l"))), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("lang") == F.col("l")))
 
     def run(batches):
         for b in batches:
@@ -140,7 +140,8 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 42) -> dict:
                     at, x = tfidf(g, idf)
                     yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([lang]), pa.array([at.astype("<u4").tobytes()]), pa.array([x.astype("<f4").tobytes()])], names=["doc_id", "lang", "at", "x"])
 
-    got = [tuple(r) for r in picked.select("doc_id", "lang", "t").mapInArrow(run, "doc_id long, lang string, at binary, x binary").collect()]
+    found = picked.select("doc_id", "lang", "t").mapInArrow(run, "doc_id long, lang string, at binary, x binary")
+    got = [tuple(r) for r in found.orderBy(F.xxhash64("doc_id", "lang", "at", "x")).limit(rows).collect()]  # ids may repeat
     got.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
     langs = sorted({r[1] for r in got})
     samples = [(np.frombuffer(r[2], "<u4"), np.frombuffer(r[3], "<f4").astype(float)) for r in got]
@@ -154,7 +155,8 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 42) -> dict:
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row: und with score 0 where the text is null or has no letter, or
-    nothing was learned. Other columns are ignored."""
+    nothing was learned. Repeated rows each give a row, null ids are not held out, ties of languages go to the first in order; an
+    empty table gives no rows; other columns are ignored, whatever their names."""
     langs, wide = model["langs"], model["table"]
 
     def run(batches):

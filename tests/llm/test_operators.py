@@ -1,4 +1,5 @@
 import dataclasses
+import math
 import random
 import zlib
 
@@ -225,6 +226,26 @@ def test_warc_round_trip_rejects_magic_in_payloads(spark):
     assert {r.record_type for r in warc.archive(df, min_bytes=10**6).collect()} == {"response"}
 
 
+def test_warc_hot_digests_and_damage(spark, monkeypatch):
+    from pyarrow import fs
+
+    monkeypatch.setattr(warc, "HOT_COPIES", 3)
+    rows = [(i, "u", "one" if i % 2 else f"page {i % 6}") for i in range(40)] + [(None, None, "one"), (39, "u", "one")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    top = {h: max(i for i, _, g in rows if g == h and i is not None) for _, _, h in rows}
+    want = sorted((str(i), "response" if i == top[h] else "revisit", None if i == top[h] else top[h]) for i, _, h in rows)
+    for limit in (10_000, 1):
+        monkeypatch.setattr(warc, "HOT", limit)
+        assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.archive(df).collect()) == want
+    files = warc.write(df, folder := new_dir(spark, "warc"))
+    root = folder.removeprefix("file://")
+    for f in fs.LocalFileSystem().get_file_info(fs.FileSelector(root)):
+        raw = open(f.path, "rb").read()
+        open(f.path, "wb").write(raw.replace(b"\r\n\r\none\r\n", b"\r\n\r\nOne\r\n"))
+    with pytest.raises(Exception, match="not that of its digest"):
+        warc.read(spark, folder, files).count()
+
+
 def test_pointer_jumping():
     assert warc.jump(np.array([0, 4, 10, 7]), np.array([4, 10, 20, 9]), 20).tolist() == [True, True, True, False]
     for offset, after in (([0, 4], [4, 10]), ([1], [20]), ([0], [19])):
@@ -441,6 +462,104 @@ def test_language_held_out_and_odd_rows(spark):
     assert (m["table"] == 0).mean() > 0.5
 
 
+def test_pairwise_loss_and_quantile_are_brute_force():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((120, quality.DIMS))
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.7 * rng.standard_normal(120) > -0.6).astype(int)
+    m = quality.fit(x, y, pairs=2_000, l2=0.05)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    draw = np.random.default_rng(42).integers(0, len(good), len(bad) * (2_000 // len(bad)))
+    d = np.array([z[good[g]] - z[b] for g, b in zip(draw, np.repeat(bad, 2_000 // len(bad)))])
+    w = np.zeros(quality.DIMS)
+    for _ in range(4_000):  # plain descent on the mean of ln(1 + exp(-w . difference)) and the penalty
+        w -= 0.1 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + 0.05 * w)
+    assert np.abs(w - m["w"]).max() < 1e-3
+    strengths = np.sort(z @ m["w"])
+    assert (strengths < m["cut"]).sum() == len(bad)
+    p = quality.score(x, m)
+    assert ((p >= quality.PASS) == (z @ m["w"] >= m["cut"])).all() and (np.argsort(p, kind="stable") == np.argsort(z @ m["w"], kind="stable")).mean() > 0.99
+
+
+@pytest.mark.parametrize("kind", ["mash", "menu", "hex"])
+def test_quality_learns_other_junk(kind):
+    def junk(rng):
+        if kind == "mash":
+            return " ".join("".join(rng.choice("qwxzjkvbp") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(5, 60))) + "."
+        if kind == "menu":
+            return "\n".join(rng.choice(["home about contact", "log in", "terms of use"]) for _ in range(rng.randint(4, 30)))
+        return " ".join("".join(rng.choice("0123456789abcdef") for _ in range(8)) for _ in range(rng.randint(5, 60)))
+
+    rng = random.Random(8)
+    rows = [(int(i % 3 > 0), junk(rng) if i % 3 == 0 else text_of("good", rng)) for i in range(900)]
+    x, y = np.array([quality.features(t) for _, t in rows]), np.array([k for k, _ in rows])
+    m = quality.fit(x[:600], y[:600])
+    assert ((quality.score(x[600:], m) >= quality.PASS) == (y[600:] == 1)).mean() > 0.97
+
+
+def test_quality_without_or_with_contradicting_labels(spark):
+    d = docs(spark, [(i, "fine words here." if i % 2 else "XX!! YY!! ZZ!!", "en", "a") for i in range(40)] + [(1, None, None, None)])
+    label = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    assert quality.passing(d, quality.train(d, label([]))).count() == 41
+    assert quality.passing(d, quality.train(d, label([(i, 1, 0) for i in range(40)]))).count() == 41
+    assert quality.passing(d, quality.train(d, label([(i, 0, 0) for i in range(40)]))).count() == 0
+    both = [(i, i % 2, 0) for i in range(40)] + [(1, 0, 0), (3, 7, 0), (5, None, 1)]
+    assert quality.train(d, label(both))["w"].tolist() == quality.train(d, label(both[:40])) ["w"].tolist()
+
+
+def test_ftrl_is_brute_force():
+    rng = np.random.default_rng(5)
+    samples = [(np.sort(rng.choice(40, 6, replace=False)).astype(np.uint32), rng.random(6)) for _ in range(80)]
+    y = rng.integers(0, 3, 80)
+    alpha, beta, l1, l2 = 2.0, 1.0, 2e-2, 1e-3
+    got = langid.ftrl(samples, y, 3, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    z, n = {}, {}
+
+    def weight(k):
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((beta + math.sqrt(n.get(k, 0.0))) / alpha + l2)
+
+    for _ in range(2):
+        for (at, x), c in zip(samples, y):
+            w = {(a, k): weight((a, k)) for a in at.tolist() for k in range(3)}
+            logits = [sum(v * w[a, k] for a, v in zip(at.tolist(), x)) for k in range(3)]
+            e = [math.exp(v - max(logits)) for v in logits]
+            for a, v in zip(at.tolist(), x):
+                for k in range(3):
+                    g = v * (e[k] / sum(e) - (k == c))
+                    old = n.get((a, k), 0.0)
+                    z[a, k] = z.get((a, k), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[a, k]
+                    n[a, k] = old + g * g
+    assert max(abs(got[a, k] - weight((a, k))) for a in range(40) for k in range(3)) < 1e-9
+    assert (got == 0).mean() > 0.9
+
+
+def test_tfidf_and_temperature_are_brute_force(spark):
+    texts = ["ab ba", "ab, AB 12", "ç", None, "77"]
+    df, n = langid.frequencies(spark.createDataFrame([(t,) for t in texts], "t string"))
+    own = [None if t is None or not any(map(str.isalpha, t)) else langid.grams(t) for t in texts]
+    assert n == 3 and df.tolist() == [sum(b in set(g.tolist()) for g in own if g is not None) for b in range(langid.BUCKETS)]
+    assert len(own[0]) == 7 + 6 + 5  # 1- to 3-grams of " ab ba "
+    idf = np.log((1 + n) / (1 + df)) + 1
+    at, x = langid.tfidf(own[0], idf)
+    assert all(abs(v - (own[0] == b).sum() / len(own[0]) * idf[b]) < 1e-12 for b, v in zip(at, x)) and len(at) == len(set(own[0].tolist()))
+    rng = np.random.default_rng(2)
+    logits, y = 5 * rng.standard_normal((300, 4)), rng.integers(0, 4, 300)
+    y[:240] = logits[:240].argmax(axis=1)
+    loss = lambda t: -np.log(langid.softmax(logits / t)[np.arange(300), y]).mean()
+    t = langid.temperature(logits, y)
+    assert loss(t) <= min(loss(v) for v in np.exp(np.linspace(math.log(0.02), math.log(20), 2_000))) + 1e-9
+
+
+def test_texts_that_share_an_id(spark):
+    rng = random.Random(6)
+    rows = [(i // 2, text_of("en" if i % 2 else "de", rng), "en" if i % 2 else "de", "a") for i in range(300)]
+    out = langid.predict(docs(spark, rows), langid.train(docs(spark, rows)))
+    assert out.groupBy("doc_id", "lang_pred").count().where("count = 1").count() > 280
+    q = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    assert quality.scores(docs(spark, rows), quality.train(docs(spark, rows), q)).count() == 300
+
+
 # --- 8
 
 
