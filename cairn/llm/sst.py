@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm._util import filesystem, materialize, new_dir
@@ -293,28 +293,28 @@ def write(docs: DataFrame, definition: str, folder: str, id_col: str = "doc_id",
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards; one task a shard.
 
-    The manifest has a row per shard, so its totals come to the driver."""
-    rows = sorted(tuple(r) for r in manifest.where("docs > 0").select("shard", "tokens").collect())
+    The manifest has a row per shard: a shard's first token is the sum over the shards before it."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not rows:
+    before = F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")
+    shards = manifest.where("docs > 0").select("shard", before.alias("base"))
+    n = manifest.where("docs > 0").count()
+    if not n:
         return spark.createDataFrame([], schema)
-    numbers = [r[0] for r in rows]
-    bases = np.concatenate(([0], np.cumsum([r[1] for r in rows])))[:-1].tolist()
 
     def run(batches):
         fs, root = filesystem(folder)
         for b in batches:
-            for i in b.column(0).to_pylist():
-                with fs.open_input_file(f"{root}/{numbers[i]:06d}.sst") as f:
+            for number, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with fs.open_input_file(f"{root}/{number:06d}.sst") as f:
                     r = Reader(f)
                     for k, entry in enumerate(r.index):
                         docs = r.block(k)
                         n = np.array([len(v) for _, v in docs], np.int64)
-                        start = bases[i] + entry[4] + np.cumsum(n) - n
+                        start = base + entry[4] + np.cumsum(n) - n
                         columns = [pa.array([id_of(x) for x, _ in docs], pa.int64()), pa.array(start), pa.array(n), pa.array([zlib.crc32(v.tobytes()) for _, v in docs], pa.int64())]
                         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(rows), 1, len(rows)).mapInArrow(run, schema)
+    return shards.repartition(n).mapInArrow(run, schema)
 
 
 def token_shards(docs: DataFrame, definition: str, **params) -> DataFrame:

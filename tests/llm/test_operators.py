@@ -717,6 +717,63 @@ def test_lookup(tmp_path):
 # --- pipeline
 
 
+def components_of(sets):
+    """Brute force: the component of each shingle set over pairs of similarity 0.8 or more."""
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    return group
+
+
+def test_pipeline_stages_are_brute_force(spark):
+    import corpus_pipeline
+    import sentencepiece
+
+    sf = "/root/testdata/sf0.001"
+    stage = dict(corpus_pipeline.STAGES)
+    raw = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(raw, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = raw.collect()
+    good = [r for r in rows if quality.score(quality.features(r.text)[None], model)[0] >= quality.PASS]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, stage["quality"](spark, raw, sf).collect())) == sorted(map(key, good))
+    words = [(r.text or "").lower().split() for r in good]
+    sets = [set(zip(*[w[k:] for k in range(5)])) or {tuple(w)} for w in words]
+    group = components_of(sets)
+    least = {g: min(r.doc_id for r, x in zip(good, group) if x == g) for g in group}
+    one = [r for r, g in zip(good, group) if r.doc_id == least[g]]
+    frame = lambda r: spark.createDataFrame(r, raw.schema)
+    assert sorted(map(key, stage["near-dedup"](spark, frame(good), sf).collect())) == sorted(map(key, one))
+    hidden = [r.asDict() | {"text": pii.pseudonymise(r.text, pii.key_of(spark, b"a key that everyone knows"))[0]} for r in one]
+    hidden = [tuple(h.values()) for h in hidden]
+    assert sorted(map(key, stage["pii"](spark, frame(one), sf).collect())) == sorted(map(key, hidden))
+    taken = {r.doc_id: r.copies for r in mixing.mix(frame(hidden)).collect()}
+    mixed = [h for h in hidden for _ in range(taken[h[0]])]
+    assert sorted(map(key, stage["mixing"](spark, frame(hidden), sf).collect())) == sorted(map(key, mixed))
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    ids = sorted((h[0], lib.encode(h[1] or "")) for h in mixed)
+    assert sorted((r.doc_id, r.ids) for r in stage["encoding"](spark, frame(mixed), sf).collect()) == ids
+    assert sorted((r.doc_id, r.ids) for r in corpus_pipeline.run(spark, sf).collect()) == ids
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(3, 1, 0), (7, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for n, (d, of) in enumerate([(docs(spark, []), labels), (docs(spark, ODD), labels.limit(0)), (docs(spark, ODD), labels), (docs(spark, []), labels.limit(0))]):
+        sf = str(tmp_path / str(n))
+        d.write.parquet(f"{sf}/documents.parquet")
+        of.write.parquet(f"{sf}/labels.parquet")
+        out = corpus_pipeline.run(spark, sf)
+        assert out.columns == ["doc_id", "ids", "n_tokens"] and (out.count() > 0) == (n in (1, 2))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, d, sf).schema == d.schema
+
+
+
 def test_pipeline_is_its_stages(spark):
     import corpus_pipeline
 
