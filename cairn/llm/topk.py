@@ -22,7 +22,7 @@ EXACT = 2.0**53
 
 def sorted_lists(rows: np.ndarray) -> np.ndarray:
     """Per dimension the row numbers by ascending component."""
-    return np.argsort(rows, axis=0, kind="stable").T
+    return np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T)
 
 
 def bounds(q: np.ndarray, share: float, order: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -91,7 +91,8 @@ def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0
         if order.shape[0] < dv.shape[1]:  # queries longer than all rows here: their further components meet zeros
             qv, dv = qv[:, : order.shape[0]], dv[:, : order.shape[0]]
         size = max(1.0, np.abs(qv).max(initial=0)) * max(1.0, np.abs(dv).max(initial=0)) * max(1, dv.shape[1])
-        values = np.take_along_axis(np.ascontiguousarray(dv.T), order.astype(np.int64), axis=1)
+        order = order.astype(np.intp)
+        values = np.take_along_axis(np.ascontiguousarray(dv.T), order, axis=1)
         for r, (own, q) in enumerate(zip(qi.tolist(), qv)):
             if size >= EXACT or best[r][1].dtype == object:
                 best[r] = _every_score(q, own, di, dv, k, best[r])
