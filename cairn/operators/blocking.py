@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import compact, eid, first_number, key_tokens, src_of, tagged, tokens
+from cairn.stages import Keep, lazy
 
 
 def token_stream(keys: DataFrame) -> DataFrame:
@@ -75,13 +76,15 @@ def block_sizes(target_keys: DataFrame, key_cap: int = 300) -> DataFrame:
     return target_keys.groupBy("country_key", "key").agg(F.count("*").alias("df")).where(F.col("df") <= key_cap)
 
 
-def keys_of(s1: DataFrame, targets: DataFrame, s1_ids: DataFrame | None = None, name_top: int = 3, addr_top: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Keys of S1 (of all or of s1_ids.s1_id) and of targets, the latter only where S1 has the key."""
-    df = token_df(targets, s1)
+def keys_of(s1: DataFrame, targets: DataFrame, s1_ids: DataFrame | None = None, name_top: int = 3, addr_top: int = 4, keep: Keep = lazy) -> tuple[DataFrame, DataFrame]:
+    """Keys of S1 (of all or of s1_ids.s1_id) and of targets, the latter only where S1 has the key.
+
+    keep writes the token counts and both key tables."""
+    df = keep(token_df(targets, s1), "token-df")
     some = s1 if s1_ids is None else s1.join(s1_ids.select(F.col("s1_id").alias("__id")).distinct(), eid("entity_id") == F.col("__id"), "left_semi")
-    s = record_keys(some, rare_tokens(some, df, name_top, addr_top))
+    s = keep(record_keys(some, rare_tokens(some, df, name_top, addr_top)), "s1-keys")
     t = record_keys(targets, rare_tokens(targets, df, name_top, addr_top))
-    return s, t.join(s.select("country_key", "key").distinct(), ["country_key", "key"], "left_semi")
+    return s, keep(t.join(s.select("country_key", "key").distinct(), ["country_key", "key"], "left_semi"), "target-keys")
 
 
 def score_candidates(s_keys: DataFrame, t_keys: DataFrame, key_cap: int = 300, k_max: int = 50) -> DataFrame:
@@ -96,11 +99,11 @@ def score_candidates(s_keys: DataFrame, t_keys: DataFrame, key_cap: int = 300, k
     return c.withColumn("rk", rank.cast("long")).where(F.col("rk") <= k_max)
 
 
-def run_blocking(s1: DataFrame, targets: list[DataFrame], s1_ids: DataFrame | None = None, name_top: int = 3, addr_top: int = 4, key_cap: int = 300, k_max: int = 50) -> DataFrame:
+def run_blocking(s1: DataFrame, targets: list[DataFrame], s1_ids: DataFrame | None = None, name_top: int = 3, addr_top: int = 4, key_cap: int = 300, k_max: int = 50, keep: Keep = lazy) -> DataFrame:
     every = targets[0]
     for t in targets[1:]:
         every = every.unionByName(t)
-    return score_candidates(*keys_of(s1, every, s1_ids, name_top, addr_top), key_cap, k_max)
+    return keep(score_candidates(*keys_of(s1, every, s1_ids, name_top, addr_top, keep), key_cap, k_max), "candidates")
 
 
 def exact_key_blocking(s1: DataFrame, targets: DataFrame, cap: int = 200) -> DataFrame:

@@ -12,6 +12,7 @@ from cairn.functions import similarity as sim
 from cairn.functions.columns import compact, compare3, first_number, jaccard, numbers, tagged, tokens
 from cairn.functions.text import LEGAL_FORMS, skeleton
 from cairn.operators.rerank import contains_either, postcode_match, sides
+from cairn.stages import Keep, lazy
 
 UNSEEN_IDF = 15.0
 LEGAL = sorted(LEGAL_FORMS - {"and"})
@@ -192,21 +193,22 @@ def fuzzy_features(j: DataFrame) -> DataFrame:
     return j.withColumns({"s_has_alias": F.col("s_name").rlike(ALIAS).cast("int"), "t_has_alias": F.col("t_name").rlike(ALIAS).cast("int")})
 
 
-def build(rev: DataFrame, s1: DataFrame, targets: DataFrame, name_idf: DataFrame, addr_idf: DataFrame, odds: DataFrame, raw: DataFrame, features: list[str] = V4, extra: tuple[str, ...] = ("y",)) -> DataFrame:
+def build(rev: DataFrame, s1: DataFrame, targets: DataFrame, name_idf: DataFrame, addr_idf: DataFrame, odds: DataFrame, raw: DataFrame, features: list[str] = V4, extra: tuple[str, ...] = ("y",), keep: Keep = lazy) -> DataFrame:
     """s1_id, tgt_id, the asked features as floats, and extra columns that rev has. rev: competition() of all candidates
-    of every S1 that it contains. Branches that no asked feature needs are not computed."""
-    j = base(rev, s1, targets)
+    of every S1 that it contains. Branches that no asked feature needs are not computed. keep writes the pairs with both
+    records, which all branches read, and the tables that branches aggregate."""
+    j = keep(base(rev, s1, targets), "pairs")
     asked = set(features)
     out = own_context(j)
     for need, step in ((set(FUZZY) | {"s_has_alias", "t_has_alias"}, fuzzy_features), ({f for f in V4 if f.startswith("lf_")}, legal_transition)):
         out = step(out) if asked & need else out
     out = number_features(address_features(name_features(out)))
-    out = out.join(cluster(j), ID, "left").na.fill({"xs_num_eq": -1, "n_twins": 0})
+    out = out.join(keep(cluster(j), "pair-cluster"), ID, "left").na.fill({"xs_num_eq": -1, "n_twins": 0})
     if asked & {"t_all_caps", "s_all_caps", "t_mixed_case", "t_lower", "t_symbols", "raw_name_eq_ci", "raw_len_diff"}:
         out = format_features(out, raw)
-    out = out.join(idf_overlap(j, name_idf, "sn", "tn", "name"), ID, "left").na.fill(0, ["idf_shared", "idf_unshared_max", "name_n_unshared"])
+    out = out.join(keep(idf_overlap(j, name_idf, "sn", "tn", "name"), "pair-name-idf"), ID, "left").na.fill(0, ["idf_shared", "idf_unshared_max", "name_n_unshared"])
     if any(f.startswith("addr_idf") for f in asked):
-        out = out.join(idf_overlap(j, addr_idf, "sa", "ta", "addr"), ID, "left").na.fill(0, ["addr_idf_shared", "addr_idf_unshared_max"])
+        out = out.join(keep(idf_overlap(j, addr_idf, "sa", "ta", "addr"), "pair-addr-idf"), ID, "left").na.fill(0, ["addr_idf_shared", "addr_idf_unshared_max"])
     if any("_lo_" in f or f in ("n_added", "n_dropped") for f in asked):
-        out = out.join(odds_features(j, odds), ID, "left").na.fill(0, [c for c in V4 if "_lo_" in c] + ["n_added", "n_dropped"])
+        out = out.join(keep(odds_features(j, odds), "pair-odds"), ID, "left").na.fill(0, [c for c in V4 if "_lo_" in c] + ["n_added", "n_dropped"])
     return out.select(*ID, *[F.col(f).cast("float").alias(f) for f in features], *[e for e in extra if e in rev.columns])

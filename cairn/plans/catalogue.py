@@ -20,6 +20,7 @@ from cairn.operators import blocking, context, decide, evaluate, mining, models,
 from cairn.plans.oracles import sql
 from cairn.plans.records import ascii_keys, records, split, table, truth
 from cairn.sources.tables import sizes
+from cairn.stages import Keep, Stages, open_stages
 
 #: The small caps of the SQL by step; a step that is not there has its operator's defaults.
 SQL_CAPS = {"blocking": {"key_cap": 5, "k_max": 5}, "cut": {"tau": 0.3, "cap": 3}, "sizes": {"key_cap": 5}, "exact": {"cap": 3}, "tokens": {"df_cap": 20, "k_max": 5}}
@@ -72,35 +73,69 @@ def whole(f):
 # --- what queries share -----------------------------------------------------------------------------------------
 
 
+def stages(spark, d) -> Stages:
+    return open_stages(spark, f"{d}/documents.parquet")
+
+
+def stage(spark, d, name: str, make: Callable[[Keep], DataFrame], step: str = "") -> DataFrame:
+    """A written table, made once for all queries over the same documents; step: whose caps it depends on."""
+    st, full = stages(spark, d), f"{name}-{step}" if step and _caps.get() else name
+    return st.table(full, lambda: make(st.write))
+
+
 def keys(spark, d):
-    return ascii_keys(records(spark, d))
+    """Records with their keys: business_name, business_address, country and owner too."""
+    return stage(spark, d, "records", lambda keep: ascii_keys(records(spark, d, keep=keep)))
+
+
+def blocked(spark, d):
+    """Keys of S1 and of targets; the token counts they were made with."""
+    st, (s1, t) = stages(spark, d), split(keys(spark, d))
+    if "target-keys" not in st.made:
+        blocking.keys_of(s1, t, keep=lambda df, name: st.table(name, lambda: df))
+    return st.made["s1-keys"], st.made["target-keys"], st.made["token-df"]
 
 
 def candidates(spark, d):
     k = keys(spark, d)
     s1, t = split(k)
-    return blocking.run_blocking(s1, [t], **caps("blocking")), k, s1, t
+    s_keys, t_keys, _ = blocked(spark, d)
+    return stage(spark, d, "candidates", lambda keep: blocking.score_candidates(s_keys, t_keys, **caps("blocking")), "sql"), k, s1, t
 
 
-def cut(spark, d):
+def reranked(spark, d):
     c, k, s1, t = candidates(spark, d)
-    return rerank.cut(rerank.fixed_score(rerank.features(c, s1, t)), **caps("cut")), k, s1, t
+    return stage(spark, d, "rerank", lambda keep: rerank.fixed_score(rerank.features(c, s1, t)), "sql"), k, s1, t
 
 
-def joined(spark, d):
+def cut(spark, d):
+    r, k, s1, t = reranked(spark, d)
+    return stage(spark, d, "cut", lambda keep: rerank.cut(r, **caps("cut")), "sql"), k, s1, t
+
+
+def competed(spark, d):
     c, k, s1, t = cut(spark, d)
-    return pairs.base(context.competition(c), s1, t), k, s1, t
+    return stage(spark, d, "competition", lambda keep: context.competition(c), "sql"), k, s1, t
+
+
+def joined(spark, d):
+    c, k, s1, t = competed(spark, d)
+    return stage(spark, d, "pairs", lambda keep: pairs.base(c, s1, t), "sql"), k, s1, t
 
 
 def labelled(spark, d):
     c, k, s1, t = cut(spark, d)
-    y = truth(records(spark, d)).withColumn("y", F.lit(1))
+    y = truth(k).withColumn("y", F.lit(1))
     return rerank.sides(c, s1, t).join(y, ["s1_id", "tgt_id"], "left").na.fill(0, ["y"])
 
 
+def odds(spark, d):
+    return stage(spark, d, "odds", lambda keep: context.token_odds(labelled(spark, d), least=2), "sql")
+
+
 def decided(spark, d):
     c, k, s1, t = cut(spark, d)
-    return decide.decide(c.select("s1_id", "tgt_id", F.col("p").alias("q")), 0.4), s1, t
+    return stage(spark, d, "decided", lambda keep: decide.decide(c.select("s1_id", "tgt_id", F.col("p").alias("q")), 0.4), "sql"), s1, t
 
 
 # --- records ----------------------------------------------------------------------------------------------------
@@ -135,7 +170,7 @@ def gt_pairs(spark, d):
 
 @query("select cast(n as bigint) as n_matches, cast(count(*) as bigint) as n_s1 from (select id, (select count(*) from truth t where t.s1_id = k.id) as n from k where src = 1) group by n", "truth")
 def match_count_dist(spark, d):
-    r = records(spark, d)
+    r = keys(spark, d)
     n = truth(r).groupBy("s1_id").agg(F.count("*").alias("n_matches"))
     s = r.where(F.col("entity_id").startswith("S1-")).select(eid("entity_id").alias("s1_id"))
     return s.join(n, "s1_id", "left").na.fill(0).groupBy("n_matches").agg(F.count("*").alias("n_s1"))
@@ -143,12 +178,12 @@ def match_count_dist(spark, d):
 
 @query("select cast(tgt_id as bigint) as tgt_id, cast(count(distinct s1_id) as bigint) as owners from truth group by tgt_id having count(distinct s1_id) <> 1", "truth")
 def owner_uniqueness(spark, d):
-    return truth(records(spark, d)).groupBy("tgt_id").agg(F.count_distinct("s1_id").alias("owners")).where("owners <> 1")
+    return truth(keys(spark, d)).groupBy("tgt_id").agg(F.count_distinct("s1_id").alias("owners")).where("owners <> 1")
 
 
 @query("select cast(count(*) as bigint) as pairs, cast(sum((a.c = b.c)::int) as bigint) as same_country from truth t join k a on a.id = t.s1_id join k b on b.id = t.tgt_id", "truth")
 def country_agreement(spark, d):
-    r = records(spark, d)
+    r = keys(spark, d)
     c = r.select(eid("entity_id").alias("id"), F.lower("country").alias("c"))
     p = truth(r).join(c.select(F.col("id").alias("s1_id"), F.col("c").alias("a")), "s1_id").join(c.select(F.col("id").alias("tgt_id"), F.col("c").alias("b")), "tgt_id")
     return p.agg(F.count("*").alias("pairs"), F.count_if(F.col("a") == F.col("b")).alias("same_country"))
@@ -308,15 +343,14 @@ def s1_vocab_df(spark, d):
 
 @query("select c as country_key, f, tok, cast(df as bigint) as df from df", "df")
 def token_df(spark, d):
-    s1, t = split(keys(spark, d))
-    return blocking.token_df(t, s1)
+    return blocked(spark, d)[2]
 
 
 @query("select c as country_key, cast(id as bigint) as id, string_agg(tok, ' ' order by n) filter (where f='n') as ns, string_agg(tok, ' ' order by n) filter (where f='a') as ad from rare group by c, id", "rare")
 def rare_tokens(spark, d):
     k = keys(spark, d)
     s1, t = split(k)
-    r = blocking.rare_tokens(k, blocking.token_df(t, s1))
+    r = blocking.rare_tokens(k, blocked(spark, d)[2])
     s = lambda c: F.nullif(F.array_join(c, " "), F.lit(""))
     return r.select("country_key", "id", s("ns").alias("ns"), s("ad").alias("ad"))
 
@@ -324,7 +358,7 @@ def rare_tokens(spark, d):
 def _record_keys(spark, d, tags):
     k = keys(spark, d)
     s1, t = split(k)
-    return blocking.record_keys(k, blocking.rare_tokens(k, blocking.token_df(t, s1))).where(F.split_part("key", F.lit("|"), F.lit(1)).isin(tags))
+    return blocking.record_keys(k, blocking.rare_tokens(k, blocked(spark, d)[2])).where(F.split_part("key", F.lit("|"), F.lit(1)).isin(tags))
 
 
 @query("select distinct c as country_key, cast(id as bigint) as id, key from kk where split_part(key,'|',1) in ('na','nn','aa')", "kk")
@@ -339,7 +373,7 @@ def affix_keys(spark, d):
 
 @query("select c as country_key, key, cast(df as bigint) as df from w", "w")
 def key_blocks_capped(spark, d):
-    return blocking.block_sizes(blocking.keys_of(*split(keys(spark, d)))[1], **caps("sizes"))
+    return blocking.block_sizes(blocked(spark, d)[1], **caps("sizes"))
 
 
 @query("select cast(s1_id as bigint) as s1_id, cast(tgt_id as bigint) as tgt_id, round(score,6) as score, cast(n_keys as bigint) as n_keys, cast(rk as bigint) as rk from cand", "cand")
@@ -352,7 +386,7 @@ def candidates_topk(spark, d):
  from (select id, (select count(*) from truth where s1_id=id) as nt, (select count(*) from truth semi join cand using (s1_id,tgt_id) where s1_id=id) as h, (select count(*) from cand where s1_id=id) as nc from k where src=1)""", "cand")
 def blocking_eval(spark, d):
     c, k, s1, t = candidates(spark, d)
-    return blocking.evaluate(c, s1.select(eid("entity_id").alias("s1_id")), truth(records(spark, d)))
+    return blocking.evaluate(c, s1.select(eid("entity_id").alias("s1_id")), truth(keys(spark, d)))
 
 
 @query("""select distinct cast(s1_id as bigint) as s1_id, cast(tgt_id as bigint) as tgt_id from (
@@ -380,8 +414,7 @@ FEAT = "cast(s1_id as bigint) as s1_id, cast(tgt_id as bigint) as tgt_id, "
  cast(cmp_contains as bigint) as cmp_contains, round(name_jacc,6) as name_jacc, round(addr_jacc,6) as addr_jacc, cast(num_shared as bigint) as num_shared, cast(s_nums as bigint) as s_nums, cast(t_nums as bigint) as t_nums,
  cast(t_addr_null as bigint) as t_addr_null, cast(pc_match as bigint) as pc_match from feat""", "feat")
 def rerank_features(spark, d):
-    c, k, s1, t = candidates(spark, d)
-    return rerank.features(c, s1, t)
+    return reranked(spark, d)[0].drop("p")
 
 
 CUT = f"{FEAT} cast(src as bigint) as src, p, cast(rk2 as bigint) as rk2"
@@ -394,7 +427,7 @@ def adaptive_cut(spark, d):
 
 @query(f"select {CUT}, cast(rev_rk as bigint) as rev_rk, cast(n_claim as bigint) as n_claim, tgt_max_p, cast(tgt_second_p as double) as tgt_second_p from rev", "rev")
 def competition_context(spark, d):
-    return context.competition(cut(spark, d)[0])
+    return competed(spark, d)[0]
 
 
 @query("select c, tok, round(idf,6) as idf from nidf", "nidf")
@@ -409,7 +442,7 @@ def addr_idf(spark, d):
 
 @query("select kind, tok, round(lo,6) as lo, cast(n as bigint) as n from odds", "odds")
 def token_log_odds(spark, d):
-    return context.token_odds(labelled(spark, d), least=2)
+    return odds(spark, d)
 
 
 # --- pair features ----------------------------------------------------------------------------------------------
@@ -469,7 +502,7 @@ def pair_feat_idf(spark, d):
  round(coalesce(max(lo) filter (where kind='drop'),0),6) as drop_lo_max, round(coalesce(min(lo) filter (where kind='drop'),0),6) as drop_lo_min, round(coalesce(sum(lo) filter (where kind='drop'),0),6) as drop_lo_sum, cast(count(*) filter (where kind='drop') as bigint) as n_dropped
  from (select s1_id, tgt_id, x.kind, coalesce(o.lo,0) as lo from (select s1_id, tgt_id, 'add' as kind, unnest(list_filter(tnt, lambda t: not list_contains(snt,t))) as tok from j union all select s1_id, tgt_id, 'drop', unnest(list_filter(snt, lambda t: not list_contains(tnt,t))) from j) x left join odds o on o.kind=x.kind and o.tok=x.tok) group by s1_id, tgt_id""", "odds")
 def pair_feat_odds(spark, d):
-    return pairs.odds_features(joined(spark, d)[0], context.token_odds(labelled(spark, d), least=2))
+    return pairs.odds_features(joined(spark, d)[0], odds(spark, d))
 
 
 @query(f"""select {FEAT} cast((t=upper(t) and t<>lower(t))::int as bigint) as t_all_caps, cast((s=upper(s) and s<>lower(s))::int as bigint) as s_all_caps, cast((t<>upper(t) and t<>lower(t))::int as bigint) as t_mixed_case,
@@ -498,9 +531,8 @@ def pair_feat_fuzzy(spark, d):
 
 @query()
 def pair_features_all(spark, d):
-    c, k, s1, t = cut(spark, d)
-    rev = context.competition(c)
-    return pairs.build(rev, s1, t, context.idf(k, "name_core"), context.idf(k, "addr_v2"), context.token_odds(labelled(spark, d), least=2), context.raw_names(k))
+    rev, k, s1, t = competed(spark, d)
+    return pairs.build(rev, s1, t, context.idf(k, "name_core"), context.idf(k, "addr_v2"), odds(spark, d), context.raw_names(k), keep=stages(spark, d).write)
 
 
 # --- decisions and output ---------------------------------------------------------------------------------------
@@ -537,7 +569,7 @@ def expected_f05(spark, d):
  from (select *, case when nt=0 and np=0 then 1 when tp=0 then 0 else 1.25*tp/(np+0.25*nt) end as f from ents)""", "ents")
 def macro_f05(spark, d):
     m, s1, t = decided(spark, d)
-    return evaluate.summary(evaluate.per_entity(s1.select(eid("entity_id").alias("s1_id")), truth(records(spark, d)), m))
+    return evaluate.summary(evaluate.per_entity(s1.select(eid("entity_id").alias("s1_id")), truth(keys(spark, d)), m))
 
 
 SUBMISSION = "select s.entity_id as source1_entity_id, coalesce(l,'') as matched_entity_ids from k s left join (select s1_id, string_agg(entity_id, ',' order by entity_id) as l from decided join k on k.id=tgt_id group by s1_id) on s1_id=s.id where s.src=1"
@@ -584,7 +616,7 @@ def scripts(spark, d):
 
 def known_pairs(spark, d):
     r = keys(spark, d).select(eid("entity_id").alias("id"), "business_name", "name_v2")
-    p = truth(records(spark, d))
+    p = truth(keys(spark, d))
     s = r.select(F.col("id").alias("s1_id"), F.col("business_name").alias("s_raw"), F.col("name_v2").alias("s_name"))
     t = r.select(F.col("id").alias("tgt_id"), F.col("business_name").alias("t_raw"), F.col("name_v2").alias("t_name"))
     return p.join(s, "s1_id").join(t, "tgt_id")
@@ -620,10 +652,9 @@ def exact_n_sample(spark, d):
 @query()
 def gbt_matcher(spark, d):
     """Fitted on one part of the entities, scored on all; rows-only."""
-    c, k, s1, t = candidates(spark, d)
-    f = rerank.features(c, s1, t).join(truth(records(spark, d)).withColumn("y", F.lit(1.0)), ["s1_id", "tgt_id"], "left").na.fill(0.0, ["y"])
+    f = reranked(spark, d)[0].drop("p").join(truth(keys(spark, d)).withColumn("y", F.lit(1.0)), ["s1_id", "tgt_id"], "left").na.fill(0.0, ["y"])
     f, names = models.prepared(f, rerank.FEATURES)
-    f = mining.entity_split(f).withColumn("valid", F.col("split") == "valid").cache()
+    f = stages(spark, d).write(mining.entity_split(f).withColumn("valid", F.col("split") == "valid"), "matcher")
     return models.score([models.fit(f, names, trees=8, depth=3, valid="valid")], f).select("s1_id", "tgt_id", "y", "q")
 
 
@@ -632,7 +663,7 @@ def gbt_matcher(spark, d):
 def audit_loss_stage(spark, d):
     c, k, s1, t = candidates(spark, d)
     u = cut(spark, d)[0]
-    x = truth(records(spark, d))
+    x = truth(keys(spark, d))
     for n, f in (("a", c), ("b", u), ("c", decided(spark, d)[0])):
         x = x.join(f.select(*pairs.ID, F.lit(True).alias(n)), pairs.ID, "left")
     stage = F.when(F.col("a").isNull(), "blocking").when(F.col("b").isNull(), "cut").when(F.col("c").isNull(), "decision").otherwise("found")

@@ -129,3 +129,50 @@ def test_null_texts_stay_as_in_sql(spark, tmp_path):
     con.execute(f"create view documents as select * from '{path}/*.parquet'")
     want = sorted(con.execute(catalogue.ORACLES["entity_ids"]).fetchall())
     assert sorted(map(tuple, catalogue.QUERIES["entity_ids"](spark, str(tmp_path)).collect())) == want and len(want) == 3
+
+
+def plans(df):
+    """Scans and exchanges of the plan as written, and as executed."""
+    df.write.format("noop").mode("overwrite").save()
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    return text.count("FileScan parquet"), text.count("Exchange hashpartitioning")
+
+
+def test_documents_are_scanned_once(spark, tmp_path, monkeypatch):
+    from cairn.plans import records as view
+
+    path = str(tmp_path / "documents.parquet")
+    spark.read.parquet(f"{SMALL}/documents.parquet").write.parquet(path)
+    asked = []
+    monkeypatch.setattr(view, "table", lambda s, d, n: asked.append(n) or s.read.parquet(f"{d}/{n}.parquet"))
+    out = {n: catalogue.QUERIES[n](spark, str(tmp_path)) for n in ("submission", "candidates_topk", "candidates_topk_whole", "pair_features_all", "pair_feat_cluster", "audit_loss_stage", "macro_f05")}
+    assert asked == ["documents"] and not any(path in f for df in out.values() for f in df.inputFiles())
+    assert plans(out["candidates_topk"]) == (1, 0) and plans(out["candidates_topk_whole"]) == (1, 0)
+    assert plans(out["pair_feat_cluster"])[0] <= 2 and plans(out["pair_features_all"])[0] <= 8
+    words = view.words(spark.read.parquet(path))
+    assert plans(words) == (1, 0)
+    spark.createDataFrame([(1, "a b c d e f", "en")], "doc_id long, text string, lang string").write.mode("overwrite").parquet(path)
+    assert catalogue.QUERIES["submission"](spark, str(tmp_path)).count() == 1 and asked == ["documents"] * 2
+
+
+def test_first_words_are_those_of_the_whole_text(spark):
+    from cairn.plans.records import words
+
+    rows = [(i, t, "en") for i, t in enumerate(["", " ", "a", " a\n\tb ", "one two  three\r\nfour five six seven eight nine ten eleven", "x" * 100_000 + " y", "\n\n" * 50_000 + "z", None, "a b c d e f g h i", "a b c d e f g h i "])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first = {r.doc_id: r.ws for r in words(d).collect()}
+    whole = {r.doc_id: r.ws for r in words(d, whole=True).collect()}
+    assert {k: v[:9] if v is not None else None for k, v in whole.items()} == first
+
+
+def test_stages_need_a_shared_folder(spark, monkeypatch):
+    from cairn.stages import Stages, shared_dir
+
+    st = Stages(spark)
+    assert st.write(spark.range(3), "x").count() == 3 and st.table("y", lambda: spark.range(2)).count() == st.table("y", lambda: 1 / 0).count() == 2
+
+    class Far:
+        sparkContext = type("C", (), {"master": "spark://far", "getConf": lambda self: type("F", (), {"get": lambda self, k: None})()})()
+
+    with pytest.raises(ValueError):
+        shared_dir(Far())
