@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -112,10 +113,7 @@ def weighted_ratio(a: str, b: str) -> float:
 
 
 def prefix_share(a: str, b: str) -> float:
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return n / min(len(a), len(b)) if a and b else 0.0
+    return len(commonprefix([a, b])) / min(len(a), len(b)) if a and b else 0.0
 
 
 def pairwise(f, a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions.columns import all_numbers, compact, eid, raw_jaccard, src_of
 from cairn.functions.similarity import jw
 
+# Names that the reranker's features must have.
 FEATURES = ["src", "rk", "score", "n_keys", "score_rel", "name_jw", "cmp_jw", "cmp_contains", "name_jacc", "addr_jacc", "num_shared", "s_nums", "t_nums", "t_addr_null", "pc_match"]
 
 
@@ -31,15 +32,15 @@ def postcode_match(a: Column | str, b: Column | str) -> Column:
 
 def features(cand: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
     """(s1_id, tgt_id) and FEATURES. Missing texts are empty; score_rel is relative to the S1's best of the source."""
-    sn, tn = F.coalesce("s_name_core", F.lit("")), F.coalesce("t_name_core", F.lit(""))
-    r = sides(cand, s1, targets).withColumn("src", src_of("tgt_id")).withColumns({"sn": sn, "tn": tn})
-    r = r.withColumns({"name_jw": jw(F.col("sn"), F.col("tn")), "cmp_jw": jw(compact("sn"), compact("tn"))})
+    r = sides(cand, s1, targets).withColumn("src", src_of("tgt_id"))
+    r = r.withColumns({f"{x}_core": F.coalesce(f"{x}_name_core", F.lit("")) for x in "st"})
+    r = r.withColumns({"name_jw": jw(F.col("s_core"), F.col("t_core")), "cmp_jw": jw(compact("s_core"), compact("t_core"))})
     s_num, t_num = all_numbers("s_addr_v2"), all_numbers("t_addr_v2")
     return r.select(
         "s1_id", "tgt_id", "src", "rk", "score", "n_keys",
         (F.col("score") / F.max("score").over(Window.partitionBy("s1_id", "src"))).alias("score_rel"),
         "name_jw", "cmp_jw",
-        contains_either(F.col("sn"), F.col("tn")).alias("cmp_contains"),
+        contains_either(F.col("s_core"), F.col("t_core")).alias("cmp_contains"),
         raw_jaccard("s_name_core", "t_name_core").alias("name_jacc"),
         raw_jaccard("s_addr_v2", "t_addr_v2").alias("addr_jacc"),
         F.size(F.array_intersect(s_num, t_num)).alias("num_shared"),
