@@ -457,16 +457,16 @@ def pair_feat_context(spark, d):
 JAC = "case when len({0})>0 and len({1})>0 then len(list_intersect({0},{1}))/len(list_distinct(list_concat({0},{1}))) end"
 
 
-@query(f"""select cast(a.s1_id as bigint) as s1_id, cast(a.tgt_id as bigint) as tgt_id, round(max(case when b.p>=0.5 then jaro_winkler_similarity(a.tn,b.tn) end),6) as xs_name_jw, round(max(case when b.p>=0.5 then {JAC.format('a.tat', 'b.tat')} end),6) as xs_addr_jacc,
- cast(coalesce(max(case when b.p>=0.5 then (a.tn1<>'' and a.tn1=b.tn1)::int end),-1) as bigint) as xs_num_eq, cast(count(*) filter (where jaro_winkler_similarity(a.tn,b.tn)>=0.95) as bigint) as n_twins from j a join j b on a.s1_id=b.s1_id and a.tgt_id<>b.tgt_id group by a.s1_id, a.tgt_id""", "j")
+@query(f"""select cast(a.s1_id as bigint) as s1_id, cast(a.tgt_id as bigint) as tgt_id, round(max(case when b.p>=0.5 then jaro_winkler_similarity(a.t.core,b.t.core) end),6) as xs_name_jw, round(max(case when b.p>=0.5 then {JAC.format('a.tat', 'b.tat')} end),6) as xs_addr_jacc,
+ cast(coalesce(max(case when b.p>=0.5 then (a.t.head<>'' and a.t.head=b.t.head)::int end),-1) as bigint) as xs_num_eq, cast(count(*) filter (where jaro_winkler_similarity(a.t.core,b.t.core)>=0.95) as bigint) as n_twins from j a join j b on a.s1_id=b.s1_id and a.tgt_id<>b.tgt_id group by a.s1_id, a.tgt_id""", "j")
 def pair_feat_cluster(spark, d):
     return pairs.cluster(joined(spark, d)[0])
 
 
-@query(f"""select {FEAT} round(jaro_winkler_similarity(sn,tn),6) as name_jw, round(jaro_winkler_similarity(replace(sn,' ',''),replace(tn,' ','')),6) as cmp_jw, round({JAC.format('snt', 'tnt')},6) as name_jacc,
- cast((split_part(sn,' ',1)=split_part(tn,' ',1))::int as bigint) as first_tok_eq, cast(length(sn) as bigint) as s_len, cast(length(tn) as bigint) as t_len, round(case when greatest(length(sn),length(tn))>0 then least(length(sn),length(tn))/greatest(length(sn),length(tn)) else 0 end,6) as len_ratio,
- round(case when greatest(length(replace(sn,' ','')),length(replace(tn,' ','')))>0 then 1-levenshtein(replace(sn,' ',''),replace(tn,' ',''))/greatest(length(replace(sn,' ','')),length(replace(tn,' ',''))) else 1 end,6) as cmp_lev,
- cast(rank() over (partition by s1_id order by jaro_winkler_similarity(sn,tn) desc) as bigint) as name_rank, cast(case when tn='' then 0 else len(string_split(tn,' '))-len(tnt) end as bigint) as t_dup_toks, cast(case when sn='' then 0 else len(string_split(sn,' '))-len(snt) end as bigint) as s_dup_toks from j""", "j")
+@query(f"""select {FEAT} round(jaro_winkler_similarity(s.core,t.core),6) as name_jw, round(jaro_winkler_similarity(s.solid,t.solid),6) as cmp_jw, round({JAC.format('snt', 'tnt')},6) as name_jacc,
+ cast((split_part(s.core,' ',1)=split_part(t.core,' ',1))::int as bigint) as first_tok_eq, cast(length(s.core) as bigint) as s_len, cast(length(t.core) as bigint) as t_len, round(coalesce(least(length(s.core),length(t.core))/nullif(greatest(length(s.core),length(t.core)),0),0),6) as len_ratio,
+ round(coalesce(1-levenshtein(s.solid,t.solid)/nullif(greatest(length(s.solid),length(t.solid)),0),1),6) as cmp_lev,
+ cast(rank() over (partition by s1_id order by jaro_winkler_similarity(s.core,t.core) desc) as bigint) as name_rank, cast(if(t.core='',0,len(string_split(t.core,' '))-len(tnt)) as bigint) as t_dup_toks, cast(if(s.core='',0,len(string_split(s.core,' '))-len(snt)) as bigint) as s_dup_toks from j""", "j")
 def pair_feat_name(spark, d):
     return pairs.name_features(joined(spark, d)[0]).select(*pairs.ID, "name_jw", "cmp_jw", "name_jacc", "first_tok_eq", "s_len", "t_len", "len_ratio", "cmp_lev", "name_rank", "t_dup_toks", "s_dup_toks")
 
@@ -474,28 +474,26 @@ def pair_feat_name(spark, d):
 ALPHA = "list_filter(list_distinct(string_split(regexp_replace({0},'[0-9]+','','g'),' ')), lambda x: x<>'')"
 
 
-@query(f"""select {FEAT} round(jaro_winkler_similarity(sa,ta),6) as addr_jw, round({JAC.format('sat', 'tat')},6) as addr_jacc, round({JAC.format(ALPHA.format('sa'), ALPHA.format('ta'))},6) as addr_alpha_jacc,
- cast(case when sa='' or ta='' then -1 when string_split(sa,' ')[-1]=string_split(ta,' ')[-1] then 1 else 0 end as bigint) as addr_last_eq, cast(rank() over (partition by s1_id order by jaro_winkler_similarity(sa,ta) desc) as bigint) as addr_rank,
- cast(case when sp is null or tp is null then -1 when sp=tp then 1 else 0 end as bigint) as pc_match from j""", "j")
+@query(f"""select {FEAT} round(jaro_winkler_similarity(s.addr,t.addr),6) as addr_jw, round({JAC.format('sat', 'tat')},6) as addr_jacc, round({JAC.format(ALPHA.format('s.addr'), ALPHA.format('t.addr'))},6) as addr_alpha_jacc,
+ cast(if('' in (s.addr, t.addr), -1, (string_split(s.addr,' ')[-1]=string_split(t.addr,' ')[-1])::int) as bigint) as addr_last_eq, cast(rank() over (partition by s1_id order by jaro_winkler_similarity(s.addr,t.addr) desc) as bigint) as addr_rank,
+ cast(coalesce((s.post = t.post)::int, -1) as bigint) as pc_match from j""", "j")
 def pair_feat_addr(spark, d):
     return pairs.address_features(joined(spark, d)[0]).select(*pairs.ID, "addr_jw", "addr_jacc", "addr_alpha_jacc", "addr_last_eq", "addr_rank", "pc_match")
 
 
-NUMS = r"list_distinct(regexp_extract_all({0},'\d+'))"
-
-
-@query(f"""select {FEAT} cast(len(list_intersect({NUMS.format('sa')},{NUMS.format('ta')})) as bigint) as num_shared, cast(len({NUMS.format('sa')}) as bigint) as s_nums, cast(len({NUMS.format('ta')}) as bigint) as t_nums,
- cast(case when sn1='' or tn1='' then -1 when sn1=tn1 then 1 else 0 end as bigint) as first_num_cmp, round(case when sn1<>'' and tn1<>'' then ln(1+abs(try_cast(sn1 as double)-try_cast(tn1 as double))) end,6) as num_absdiff_log, cast(case when sn1<>'' and tn1<>'' then levenshtein(sn1,tn1) end as bigint) as num_lev,
- cast(case when sn1='' or tn1='' then -1 when sn1<>tn1 and (starts_with(sn1,tn1) or starts_with(tn1,sn1) or ends_with(sn1,tn1) or ends_with(tn1,sn1)) then 1 else 0 end as bigint) as num_trunc from j""", "j")
+@query(f"""select {FEAT} cast(len(list_filter(sn, lambda x: list_contains(tn, x))) as bigint) as num_shared, cast(len(sn) as bigint) as s_nums, cast(len(tn) as bigint) as t_nums,
+ cast(if(gone, -1, (s.head=t.head)::int) as bigint) as first_num_cmp, round(if(gone, null, ln(1+abs(try_cast(s.head as double)-try_cast(t.head as double)))),6) as num_absdiff_log, cast(if(gone, null, levenshtein(s.head,t.head)) as bigint) as num_lev,
+ cast(if(gone, -1, (s.head<>t.head and (prefix(s.head,t.head) or prefix(t.head,s.head) or suffix(s.head,t.head) or suffix(t.head,s.head)))::int) as bigint) as num_trunc
+ from (select *, list_distinct(s.nums) as sn, list_distinct(t.nums) as tn, '' in (s.head, t.head) as gone from j)""", "j")
 def pair_feat_number(spark, d):
     return pairs.number_features(joined(spark, d)[0]).select(*pairs.ID, "num_shared", "s_nums", "t_nums", "first_num_cmp", "num_absdiff_log", "num_lev", "num_trunc")
 
 
 @query(f"""select {FEAT} round(coalesce(sum(v) filter (where sh),0),6) as idf_shared, round(coalesce(sum(v) filter (where sh),0)/nullif(sum(v),0),6) as name_idf_jacc, round(coalesce(max(v) filter (where not sh),0),6) as idf_unshared_max, cast(count(*) filter (where not sh) as bigint) as name_n_unshared
- from (select s1_id, tgt_id, coalesce(idf,15.0)::double as v, sh from (select s1_id, tgt_id, cty, tok, list_contains(snt,tok) and list_contains(tnt,tok) as sh from (select s1_id, tgt_id, cty, snt, tnt, unnest(list_distinct(list_concat(snt,tnt))) as tok from j)) x left join nidf n on n.c=x.cty and n.tok=x.tok) group by s1_id, tgt_id""", "nidf")
+ from (select s1_id, tgt_id, coalesce(idf,15.0)::double as v, sh from (select s1_id, tgt_id, land, tok, list_contains(snt,tok) and list_contains(tnt,tok) as sh from (select s1_id, tgt_id, t.land as land, snt, tnt, unnest(list_distinct(list_concat(snt,tnt))) as tok from j)) x left join nidf n on n.c=x.land and n.tok=x.tok) group by s1_id, tgt_id""", "nidf")
 def pair_feat_idf(spark, d):
     j, k, s1, t = joined(spark, d)
-    return pairs.idf_overlap(j, context.idf(k, "name_core"), "sn", "tn", "name")
+    return pairs.idf_overlap(j, context.idf(k, "name_core"), "s_core", "t_core", "name")
 
 
 @query(f"""select {FEAT} round(coalesce(max(lo) filter (where kind='add'),0),6) as add_lo_max, round(coalesce(min(lo) filter (where kind='add'),0),6) as add_lo_min, round(coalesce(sum(lo) filter (where kind='add'),0),6) as add_lo_sum, cast(count(*) filter (where kind='add') as bigint) as n_added,
@@ -505,9 +503,9 @@ def pair_feat_odds(spark, d):
     return pairs.odds_features(joined(spark, d)[0], odds(spark, d))
 
 
-@query(f"""select {FEAT} cast((t=upper(t) and t<>lower(t))::int as bigint) as t_all_caps, cast((s=upper(s) and s<>lower(s))::int as bigint) as s_all_caps, cast((t<>upper(t) and t<>lower(t))::int as bigint) as t_mixed_case,
- cast((t=lower(t) and t<>upper(t))::int as bigint) as t_lower, cast(regexp_matches(t,'[()\\[\\]#*]')::int as bigint) as t_symbols, cast((lower(s)=lower(t))::int as bigint) as raw_name_eq_ci, cast(length(t)-length(s) as bigint) as raw_len_diff
- from (select s1_id, tgt_id, regexp_replace(coalesce(sraw,''),'[^ -~]','?','g') as s, regexp_replace(coalesce(traw,''),'[^ -~]','?','g') as t from j)""", "j")
+@query(f"""select {FEAT} cast((b_up and not b_low)::int as bigint) as t_all_caps, cast((a_up and not a_low)::int as bigint) as s_all_caps, cast((b_up and b_low)::int as bigint) as t_mixed_case, cast((b_low and not b_up)::int as bigint) as t_lower,
+ cast(regexp_matches(b,'[()\\[\\]#*]')::int as bigint) as t_symbols, cast((lower(a)=lower(b))::int as bigint) as raw_name_eq_ci, cast(length(b)-length(a) as bigint) as raw_len_diff
+ from (select *, a<>upper(a) as a_low, a<>lower(a) as a_up, b<>upper(b) as b_low, b<>lower(b) as b_up from (select s1_id, tgt_id, regexp_replace(coalesce(s.raw,''),'[^ -~]','?','g') as a, regexp_replace(coalesce(t.raw,''),'[^ -~]','?','g') as b from j))""", "j")
 def pair_feat_format(spark, d):
     j, k, s1, t = joined(spark, d)
     raw = context.raw_names(k).withColumn("raw", F.regexp_replace("raw", "[^ -~]", "?"))  # engines differ in other cases
@@ -518,7 +516,7 @@ LF = "list_filter(string_split({0},' '), lambda x: list_contains([" + ",".join(f
 
 
 @query(f"""select {FEAT} cast((k='same')::int as bigint) as lf_same, cast((k='dropped')::int as bigint) as lf_dropped, cast((k='added')::int as bigint) as lf_added, cast((k='changed' or k='subset')::int as bigint) as lf_other from (
- select s1_id, tgt_id, case when len(a)=0 and len(b)=0 then 'none' when a=b then 'same' when len(b)=0 then 'dropped' when len(a)=0 then 'added' else 'changed' end as k from (select s1_id, tgt_id, {LF.format('sn')} as a, {LF.format('tn')} as b from j))""", "j")
+ select s1_id, tgt_id, case when len(a)=0 and len(b)=0 then 'none' when a=b then 'same' when len(b)=0 then 'dropped' when len(a)=0 then 'added' else 'changed' end as k from (select s1_id, tgt_id, {LF.format('s.core')} as a, {LF.format('t.core')} as b from j))""", "j")
 def pair_feat_legal(spark, d):
     j = pairs.legal_transition(joined(spark, d)[0])
     return j.select(*pairs.ID, "lf_same", "lf_dropped", "lf_added", (F.col("lf_subset") + F.col("lf_changed")).alias("lf_other"))
@@ -670,7 +668,7 @@ def audit_loss_stage(spark, d):
     return x.groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
 
 
-@query("""select kind, cast(count(*) as bigint) as n, round(avg(p),6) as avg_p from (select p, case when y then 'true' when t.owner is null then 'unowned' else 'owned by another' end as kind from cut join sides using (s1_id,tgt_id) join k t on t.id=tgt_id) group by kind""", "cut")
+@query("""select kind, cast(count(*) as bigint) as n, round(avg(p),6) as avg_p from (select p, case when y then 'true' when t.owner is null then 'unowned' else 'owned by another' end as kind from cut join matched using (s1_id,tgt_id)) group by kind""", "cut")
 def audit_distractors(spark, d):
     c, k, s1, t = cut(spark, d)
     o = t.select(eid("entity_id").alias("tgt_id"), eid("owner").alias("own"))
@@ -678,9 +676,9 @@ def audit_distractors(spark, d):
     return c.join(o, "tgt_id").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.avg("p").alias("avg_p"))
 
 
-@query("""select shape, cast(count(*) as bigint) as n from (select case when sn1='' or tn1='' then 'missing' when sn1=tn1 then 'equal' when abs(cast(sn1 as double)-cast(tn1 as double)) between 1 and 10 then 'near' when length(sn1)=length(tn1) then 'same length' else 'far' end as shape from j) group by shape""", "j")
+@query("""select shape, cast(count(*) as bigint) as n from (select case when '' in (s.head, t.head) then 'missing' when s.head=t.head then 'equal' when abs(cast(s.head as double)-cast(t.head as double)) between 1 and 10 then 'near' when length(s.head)=length(t.head) then 'same length' else 'far' end as shape from j) group by shape""", "j")
 def audit_number_shape(spark, d):
-    s, t = F.col("sn1"), F.col("tn1")
+    s, t = F.col("s_first"), F.col("t_first")
     gap = F.abs(s.try_cast("double") - t.try_cast("double"))
     shape = F.when((s == "") | (t == ""), "missing").when(s == t, "equal").when(gap.between(1, 10), "near").when(F.length(s) == F.length(t), "same length").otherwise("far")
     return joined(spark, d)[0].groupBy(shape.alias("shape")).agg(F.count("*").alias("n"))
