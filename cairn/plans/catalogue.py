@@ -1,8 +1,8 @@
 """All linkage queries by name: a function of (spark, sf_dir) and, where SQL can say it, the same in DuckDB SQL.
 
-The SQL binds caps that production leaves wide: key_cap 5, k_max 5, a cut of 3 per source. Queries held against it do a
-smaller job for that, which loses groups of copies; each has a twin NAME_whole without SQL that runs the operators' own
-defaults, as do queries that have no SQL. Integers are longs and doubles are rounded at 6 places on both sides.
+Queries on candidates come twice: under their name with caps small enough to bind on little data (key_cap 5, k_max 5, a cut of
+3 per source), which loses groups of copies, and as NAME_whole with the operators' own defaults. Those without SQL run the
+defaults under their own names. Integers are longs and doubles are rounded at 6 places on both sides.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from cairn.functions import text as tx
 from cairn.functions.columns import eid, first_number, src_of
 from cairn.operators import blocking, context, decide, evaluate, mining, models, pairs, rerank, validate
-from cairn.plans.oracles import sql
+from cairn.plans.oracles import SMALL, WHOLE, bound, sql
 from cairn.plans.records import ascii_keys, records, split, table, truth
 from cairn.sources.tables import sizes
 from cairn.stages import Keep, Stages, open_stages
@@ -27,6 +27,7 @@ SQL_CAPS = {"blocking": {"key_cap": 5, "k_max": 5}, "cut": {"tau": 0.3, "cap": 3
 _caps: ContextVar[dict] = ContextVar("caps", default=SQL_CAPS)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_SQL: dict[str, str] = {}  # with caps by name
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -47,7 +48,8 @@ def query(oracle: str | None = None, upto: str | None = None):
     def add(f):
         QUERIES[f.__name__] = lambda spark, d: tidy(f(spark, d))
         if oracle is not None:
-            ORACLES[f.__name__] = sql(upto, oracle) if upto else oracle
+            _SQL[f.__name__] = sql(upto, oracle) if upto else oracle
+            ORACLES[f.__name__] = bound(_SQL[f.__name__], SMALL)
         return f
 
     return add
@@ -390,8 +392,8 @@ def blocking_eval(spark, d):
 
 
 @query("""select distinct cast(s1_id as bigint) as s1_id, cast(tgt_id as bigint) as tgt_id from (
- select s.id as s1_id, t.id as tgt_id from k s join k t on s.c=t.c and s.name=t.name and s.src=1 and t.src>1 where not exists (select 1 from (select c, name from k where src>1 group by all having count(*)>3) b where b.c=t.c and b.name=t.name)
- union all select s.id, t.id from k s join k t on s.c=t.c and s.addr=t.addr and s.src=1 and t.src>1 where not exists (select 1 from (select c, addr from k where src>1 group by all having count(*)>3) b where b.c=t.c and b.addr=t.addr))""", "k")
+ select s.id as s1_id, t.id as tgt_id from k s join k t on s.c=t.c and s.name=t.name and s.src=1 and t.src>1 where not exists (select 1 from (select c, name from k where src>1 group by all having count(*)>:exact_cap) b where b.c=t.c and b.name=t.name)
+ union all select s.id, t.id from k s join k t on s.c=t.c and s.addr=t.addr and s.src=1 and t.src>1 where not exists (select 1 from (select c, addr from k where src>1 group by all having count(*)>:exact_cap) b where b.c=t.c and b.addr=t.addr))""", "k")
 def exact_key_blocking(spark, d):
     return blocking.exact_key_blocking(*split(keys(spark, d)), **caps("exact"))
 
@@ -399,8 +401,8 @@ def exact_key_blocking(spark, d):
 @query("""select cast(s1_id as bigint) as s1_id, cast(tgt_id as bigint) as tgt_id, round(score,6) as score, cast(n_tokens as bigint) as n_tokens, cast(rk as bigint) as rk from (select *, row_number() over (partition by s1_id, tgt_id//100000000000 order by score desc, tgt_id) as rk from (
  select a.id as s1_id, b.id as tgt_id, round(sum(ln(n/df)),9) as score, count(*) as n_tokens from (select c, id, unnest(nt) as tok from tl join k using (id) where src=1) a
  join (select c, id, unnest(nt) as tok from tl join k using (id) where src>1) b using (c,tok)
- join (select c, tok, count(*) as df from (select c, unnest(nt) as tok from tl join k using (id) where src>1) group by all having count(*)<=20) w using (c,tok)
- join (select c, count(*) as n from k where src>1 group by c) n using (c) group by a.id, b.id)) where rk<=5""", "tl")
+ join (select c, tok, count(*) as df from (select c, unnest(nt) as tok from tl join k using (id) where src>1) group by all having count(*)<=:df_cap) w using (c,tok)
+ join (select c, count(*) as n from k where src>1 group by c) n using (c) group by a.id, b.id)) where rk<=:tok_max""", "tl")
 def token_idf_blocking(spark, d):
     return blocking.token_idf_blocking(*split(keys(spark, d)), **caps("tokens"))
 
@@ -715,3 +717,4 @@ CAPPED = [
     "rule_relative", "expected_f05", "macro_f05", "submission", "validate_submission", "gbt_matcher", "audit_loss_stage", "audit_distractors", "audit_number_shape", "audit_target_coverage", "threshold_sweep",
 ]
 QUERIES |= {f"{n}_whole" if n in ORACLES else n: whole(QUERIES[n]) for n in CAPPED}
+ORACLES |= {f"{n}_whole": bound(_SQL[n], WHOLE) for n in CAPPED if n in _SQL}
