@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.text import LEET, LEET_LETTERS, STEM_KEEPS, STEM_LENGTH
+
 SOURCE_UNIT = 100_000_000_000
 
 
@@ -76,11 +78,28 @@ def postcode(address: Column | str) -> Column:
     return F.when(F.size(found) > 0, compact(F.element_at(found, -1)))
 
 
+def unleet(token: Column | str) -> Column:
+    """Digits typed for letters, in tokens of three letters or more whose digits are all of that kind; as text.unleet()."""
+    t = _c(token)
+    shape = rf"^(?=[^0-9]*[0-9])(?={'[^a-z]*[a-z]' * LEET_LETTERS})[a-z{''.join(LEET)}&/]+$"
+    return F.when(t.rlike(shape), F.translate(t, "".join(LEET), "".join(LEET.values()))).otherwise(t)
+
+
+def stem(token: Column | str) -> Column:
+    """Without a plural's s; as text.stem()."""
+    return F.regexp_replace(_c(token), rf"^(.{{{STEM_LENGTH - 2},}}[^{STEM_KEEPS}])s$", "$1")
+
+
+def plain_numbers(address: Column | str) -> Column:
+    """Numbers without leading zeros."""
+    return F.regexp_replace(_c(address), r"\b0+(?=[0-9]+\b)", "")
+
+
 #: The helpers as SQL functions, inlined by Catalyst.
 SQL_FUNCTIONS = {
     "eid(x STRING) RETURNS BIGINT": f"bigint(substr(x, 2, 1)) * {SOURCE_UNIT} + bigint(split_part(x, '-', 2))",
-    "tl(x STRING) RETURNS ARRAY<STRING>": "filter(array_distinct(split(x, ' ')), t -> t <> '')",
-    "toks(x STRING) RETURNS ARRAY<STRING>": "filter(array_distinct(split(x, ' ')), t -> length(t) >= 2 or t rlike '^[0-9]+$')",
+    "tl(x STRING) RETURNS ARRAY<STRING>": "filter(array_distinct(split(coalesce(x, ''), ' ')), t -> t <> '')",
+    "toks(x STRING) RETURNS ARRAY<STRING>": "filter(array_distinct(split(coalesce(x, ''), ' ')), t -> length(t) >= 2 or t rlike '^[0-9]+$')",
     "nums(x STRING) RETURNS ARRAY<STRING>": "array_distinct(regexp_extract_all(x, '([0-9]+)', 1))",
     "jac(x STRING, y STRING) RETURNS DOUBLE": "case when size(tl(x)) > 0 and size(tl(y)) > 0 then size(array_intersect(tl(x), tl(y))) / size(array_union(tl(x), tl(y))) end",
 }

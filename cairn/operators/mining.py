@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.similarity import pairwise, ratio
-from cairn.functions.text import text_udf, to_ascii
+from cairn.functions.text import scripts_of, text_udf, to_ascii, to_latin
 
 
 def _words(c: str) -> Column:
@@ -71,3 +71,33 @@ def entity_split(ids: DataFrame, column: str = "s1_id", parts: int = 5) -> DataF
 def exact_sample(df: DataFrame, n: int, column: str, seed: int = 42) -> DataFrame:
     """Exactly n rows (all, if fewer), the same at every run: the first by a seeded hash of the id."""
     return df.orderBy(F.xxhash64(column, F.lit(seed)), column).limit(n)
+
+
+def disjoint_samples(ids: DataFrame, sizes: dict[str, int], column: str = "s1_id", seed: int = 42) -> DataFrame:
+    """(column, part): samples of exactly those sizes that share no id (smaller, if ids run out), the same at every run: the
+    first by a seeded hash make the first sample, the next ones the second, and so on."""
+    h = F.xxhash64(column, F.lit(seed))
+    first = ids.select(column).distinct().select(column, h.alias("h")).orderBy("h", column).limit(sum(sizes.values()))
+    n = F.row_number().over(Window.orderBy("h", column))  # of the samples only
+    part, end = F.lit(None).cast("string"), sum(sizes.values())
+    for name, size in reversed(sizes.items()):
+        part, end = F.when(F.col("n") <= end, F.lit(name)).otherwise(part), end - size
+    return first.withColumn("n", n).select(column, part.alias("part"))
+
+
+def random_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """n rows (all, if fewer) in random order; not the same at every run unless the input's partitions are."""
+    return df.orderBy(F.rand(seed)).limit(n)
+
+
+def dictionary_report(pairs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """pairs (s, t) of true names, dictionary (w, e) -> per script: tokens of targets beyond ASCII, the share the dictionary covers,
+    tokens that align with S1 by place, and the shares of them that the dictionary and the plain spelling get right."""
+    a, b = _words("s"), _words("t")
+    p = pairs.select(F.transform(a, lambda x: F.lower(x)).alias("a"), b.alias("b"))
+    scripts = text_udf(scripts_of, "array<string>")
+    p = p.select("a", F.posexplode("b").alias("at", "w"), (F.size("a") == F.size("b")).alias("aligned"), F.array_join("b", " ").alias("t")).where(F.col("w").rlike(r"[^\x00-\x7F]"))
+    p = p.withColumns({"script": F.coalesce(F.try_element_at(scripts("t"), F.lit(1)), F.lit("?")), "plain": text_udf(to_latin)("w"), "want": F.when(F.col("aligned"), F.get("a", F.col("at")))})
+    p = p.join(dictionary.select("w", "e"), "w", "left")
+    right = lambda c: F.try_divide(F.count_if(F.col(c) == F.col("want")), F.count("want"))
+    return p.groupBy("script").agg(F.count("*").alias("tokens"), (F.count("e") / F.count("*")).alias("coverage"), F.count("want").alias("aligned"), right("e").alias("dictionary_right"), right("plain").alias("spelling_right"))

@@ -72,6 +72,19 @@ def whole(f):
     return run
 
 
+#: Rows that the data lack, added by query and SQL alike: owned pairs, customers, names of true pairs, pairs with legal forms.
+OWNED = [(100000000001, 200000000009), (100000000002, 200000000009), (100000000003, 200000000008)]
+IDLE = [(-1, "Customer without orders"), (-2, "Another one")]
+NAME_PAIRS = [("sunrise bakery", "sunrise bakry"), ("green market hall", "green markt hal"), ("old market", "old markt"), ("blue bakery 12", "blue bakry 13"), ("alpha beta gamma", "alpha"), ("alpha beta", "alpha delta")]
+WORD_PAIRS = [("aditya stores", "आदित्य स्टोर्स"), ("aditya tea", "आदित्य टी"), ("ram stores", "राम स्टोर्स"), ("ram", "राम"), ("sita", "राम"), ("one", "राम राम")]
+FORMS = [(-1, -1, "acme private limited", "acme private limited"), (-2, -1, "acme limited", "acme"), (-3, -1, "acme", "acme llc"), (-4, -1, "zen llc", "zen private llc"), (-5, -1, "zen llc", "zen limited west"), (-6, -1, "zen sas sas", "zen sas"), (-7, -1, "zen", "acme")]
+
+
+def literals(rows: list[tuple]) -> str:
+    """Rows as a SQL list of values."""
+    return "(values " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows) + ")"
+
+
 # --- what queries share -----------------------------------------------------------------------------------------
 
 
@@ -178,9 +191,10 @@ def match_count_dist(spark, d):
     return s.join(n, "s1_id", "left").na.fill(0).groupBy("n_matches").agg(F.count("*").alias("n_s1"))
 
 
-@query("select cast(tgt_id as bigint) as tgt_id, cast(count(distinct s1_id) as bigint) as owners from truth group by tgt_id having count(distinct s1_id) <> 1", "truth")
+@query("select cast(tgt_id as bigint) as tgt_id, cast(count(distinct s1_id) as bigint) as owners from (select s1_id, tgt_id from truth union all select * from " + literals(OWNED) + ") group by tgt_id having count(distinct s1_id) <> 1", "truth")
 def owner_uniqueness(spark, d):
-    return truth(keys(spark, d)).groupBy("tgt_id").agg(F.count_distinct("s1_id").alias("owners")).where("owners <> 1")
+    t = truth(keys(spark, d)).unionByName(spark.createDataFrame(OWNED, "s1_id long, tgt_id long"))
+    return t.groupBy("tgt_id").agg(F.count_distinct("s1_id").alias("owners")).where("owners <> 1")
 
 
 @query("select cast(count(*) as bigint) as pairs, cast(sum((a.c = b.c)::int) as bigint) as same_country from truth t join k a on a.id = t.s1_id join k b on b.id = t.tgt_id", "truth")
@@ -235,9 +249,10 @@ def semi_join_ids(spark, d):
     return table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("select c_custkey, c_name from customer anti join orders on c_custkey = o_custkey")
+@query("select c_custkey, c_name from (select c_custkey, c_name from customer union all select * from " + literals(IDLE) + ") anti join orders on c_custkey = o_custkey")
 def anti_join_ids(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    c = table(spark, d, "customer").select("c_custkey", "c_name").unionByName(spark.createDataFrame(IDLE, "c_custkey long, c_name string"))
+    return c.join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("""select l_partkey, l_suppkey, cast(count(*) as bigint) as n from lineitem l where not exists (select 1 from (select l_partkey as bp, l_suppkey as bs from lineitem group by all having count(*) > 2) b
@@ -517,11 +532,12 @@ def pair_feat_format(spark, d):
 LF = "list_filter(string_split({0},' '), lambda x: list_contains([" + ",".join(f"'{x}'" for x in pairs.LEGAL) + "], x))"
 
 
-@query(f"""select {FEAT} cast((k='same')::int as bigint) as lf_same, cast((k='dropped')::int as bigint) as lf_dropped, cast((k='added')::int as bigint) as lf_added, cast((k='changed' or k='subset')::int as bigint) as lf_other from (
- select s1_id, tgt_id, case when len(a)=0 and len(b)=0 then 'none' when a=b then 'same' when len(b)=0 then 'dropped' when len(a)=0 then 'added' else 'changed' end as k from (select s1_id, tgt_id, {LF.format('s.core')} as a, {LF.format('t.core')} as b from j))""", "j")
+@query(f"""select {FEAT} cast((k='same')::int as bigint) as lf_same, cast((k='dropped')::int as bigint) as lf_dropped, cast((k='added')::int as bigint) as lf_added, cast((k='subset')::int as bigint) as lf_subset, cast((k='changed')::int as bigint) as lf_changed from (
+ select s1_id, tgt_id, case when len(a)+len(b)=0 then 'none' when a=b then 'same' when len(b)=0 then 'dropped' when len(a)=0 then 'added' when len(list_distinct(a))<>len(list_distinct(b)) and (list_has_all(a,b) or list_has_all(b,a)) then 'subset' else 'changed' end as k
+ from (select s1_id, tgt_id, {LF.format('x')} as a, {LF.format('y')} as b from (select s1_id, tgt_id, s.core as x, t.core as y from j union all select * from {literals(FORMS)})))""", "j")
 def pair_feat_legal(spark, d):
-    j = pairs.legal_transition(joined(spark, d)[0])
-    return j.select(*pairs.ID, "lf_same", "lf_dropped", "lf_added", (F.col("lf_subset") + F.col("lf_changed")).alias("lf_other"))
+    j = joined(spark, d)[0].select(*pairs.ID, "s_name", "t_name").unionByName(spark.createDataFrame(FORMS, "s1_id long, tgt_id long, s_name string, t_name string"))
+    return pairs.legal_transition(j).select(*pairs.ID, "lf_same", "lf_dropped", "lf_added", "lf_subset", "lf_changed")
 
 
 @query()
@@ -622,21 +638,29 @@ def known_pairs(spark, d):
     return p.join(s, "s1_id").join(t, "tgt_id")
 
 
+def true_names(spark, d):
+    """Names of true pairs, and NAME_PAIRS."""
+    p = known_pairs(spark, d).select(F.col("s_name").alias("s"), F.col("t_name").alias("t"))
+    return p.unionByName(spark.createDataFrame(NAME_PAIRS, "s string, t string"))
+
+
 PAIRS = "truth p join k s on s.id=s1_id join k t on t.id=tgt_id"
+NAMED_PAIRS = f"(select s.name as x, t.name as y from {PAIRS} union all select * from {literals(NAME_PAIRS)})"
 WORDS = r"list_filter(regexp_split_to_array({0},'[\s.,;:()\[\]/\\\-|''\"]+'), lambda x: x<>'')"
 
 
 @query(f"""select w, e, cast(n as bigint) as n, round(conf,6) as conf from (select *, row_number() over (partition by w order by n desc, e) as r from (select w, e, count(*) as n, count(*)/sum(count(*)) over (partition by w) as conf from (
- select unnest(a) as e, unnest(b) as w from (select {WORDS.format('s.raw')} as a, {WORDS.format('t.raw')} as b from {PAIRS}) where len(a)=len(b)) where regexp_matches(w,'[^\\x00-\\x7F]') group by w, e) where n>=2 and conf>=0.5 and length(w)>=2) where r=1""", "truth")
+ select unnest(a) as e, unnest(b) as w from (select {WORDS.format('x')} as a, {WORDS.format('y')} as b from (select s.raw as x, t.raw as y from {PAIRS} union all select * from {literals(WORD_PAIRS)})) where len(a)=len(b)) where regexp_matches(w,'[^\\x00-\\x7F]') group by w, e) where n>=2 and conf>=0.5 and length(w)>=2) where r=1""", "truth")
 def mine_aligned_tokens(spark, d):
-    return mining.aligned_tokens(known_pairs(spark, d).select(F.col("s_raw").alias("s"), F.col("t_raw").alias("t")), 2, 0.5)
+    p = known_pairs(spark, d).select(F.col("s_raw").alias("s"), F.col("t_raw").alias("t"))
+    return mining.aligned_tokens(p.unionByName(spark.createDataFrame(WORD_PAIRS, "s string, t string")), 2, 0.5)
 
 
 @query(f"""select variant, canonical, cast(n as bigint) as n, round(conf,6) as conf from (select *, row_number() over (partition by variant order by n desc, canonical) as r from (select variant, canonical, count(*) as n, count(*)/sum(count(*)) over (partition by variant) as conf from (
- select unnest(a) as canonical, unnest(b) as variant from (select list_filter(x, lambda t: not list_contains(y,t)) as a, list_filter(y, lambda t: not list_contains(x,t)) as b from (select string_split(s.name,' ') as x, string_split(t.name,' ') as y from {PAIRS})) where len(a)=len(b) and len(a) between 1 and 3)
- where variant[1]=canonical[1] and not regexp_matches(variant||canonical,'[0-9]') group by variant, canonical) where n>=1 and conf>=0.3) where r=1 and canonical not in (select variant from (select unnest(b) as variant from (select list_filter(y, lambda t: not list_contains(x,t)) as b, list_filter(x, lambda t: not list_contains(y,t)) as a from (select string_split(s.name,' ') as x, string_split(t.name,' ') as y from {PAIRS})) where len(a)=len(b) and len(a) between 1 and 3))""", "truth")
+ select unnest(a) as canonical, unnest(b) as variant from (select list_filter(x, lambda t: not list_contains(y,t)) as a, list_filter(y, lambda t: not list_contains(x,t)) as b from (select string_split(x,' ') as x, string_split(y,' ') as y from {NAMED_PAIRS})) where len(a)=len(b) and len(a) between 1 and 3)
+ where variant[1]=canonical[1] and not regexp_matches(variant||canonical,'[0-9]') group by variant, canonical) where n>=1 and conf>=0.3) where r=1 and canonical not in (select variant from (select unnest(b) as variant from (select list_filter(y, lambda t: not list_contains(x,t)) as b, list_filter(x, lambda t: not list_contains(y,t)) as a from (select string_split(x,' ') as x, string_split(y,' ') as y from {NAMED_PAIRS})) where len(a)=len(b) and len(a) between 1 and 3))""", "truth")
 def mine_variants(spark, d):
-    return mining.variants(known_pairs(spark, d).select(F.col("s_name").alias("s"), F.col("t_name").alias("t")), 1, 0.3)
+    return mining.variants(true_names(spark, d), 1, 0.3)
 
 
 @query()
@@ -695,10 +719,10 @@ def audit_target_coverage(spark, d):
     return x.groupBy(src_of("tgt_id").alias("src")).agg(F.count("*").alias("targets"), F.count("a").alias("in_candidates"), F.count("b").alias("matched"))
 
 
-@query("select tok, cast(count(*) as bigint) as n from (select unnest(list_filter(x.nt, lambda t: not list_contains(y.nt,t))) as tok from truth join tl x on x.id=s1_id join tl y on y.id=tgt_id) group by tok", "tl")
+@query(f"select tok, cast(count(*) as bigint) as n from (select unnest(list_filter(list_distinct(string_split(x,' ')), lambda t: t <> '' and not list_contains(string_split(y,' '),t))) as tok from {NAMED_PAIRS}) group by tok", "truth")
 def audit_missing_tokens(spark, d):
     tok = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda t: t != "")
-    return known_pairs(spark, d).select(F.explode(F.array_except(tok("s_name"), tok("t_name"))).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
+    return true_names(spark, d).select(F.explode(F.array_except(tok("s"), tok("t"))).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
 
 
 @query("select round(cast(tau as double),6) as tau, country, cast(n as bigint) as n from (select tau, c as country, count(*) as n from cut join k on k.id=s1_id, (values (0.4),(0.6),(0.8)) v(tau) where p>=tau group by all)", "cut")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.text import build_keys
+
 RAW = "entity_id string, business_name string, business_address string, country string"
 TRUTH = "source1_entity_id string, matched_entity_ids string"
 
@@ -63,3 +65,29 @@ def sizes(tables: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def file_bytes(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """name, files, bytes, rows, columns of every table read from files, in one job."""
+    out = None
+    for n, df in tables.items():
+        f = df.groupBy(F.col("_metadata.file_path"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("rows"))
+        one = f.agg(F.lit(n).alias("name"), F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum("rows").alias("rows"), F.lit(len(df.columns)).alias("columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def build_keys_table(spark: SparkSession, raw: str, out: str, dictionaries: dict | None = None, overwrite: bool = False) -> bool:
+    """Raw records from Parquet to a table of keys, streamed through one Arrow UDF; a table that is there stays unless overwrite.
+
+    Returns whether it was written. The committer makes the table appear whole or not at all."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not overwrite and path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return False
+    write_parquet(build_keys(spark.read.parquet(raw), dictionaries), out, overwrite=True)
+    return True
+
+
+def build_all(spark: SparkSession, sources: list[str], raw_dir: str, out_dir: str, dictionaries: dict | None = None, overwrite: bool = False) -> dict[str, bool]:
+    """build_keys_table() of every source; which of them were written."""
+    return {n: build_keys_table(spark, f"{raw_dir}/{n}", f"{out_dir}/{n}", dictionaries, overwrite) for n in sources}
