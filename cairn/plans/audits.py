@@ -12,6 +12,7 @@ from cairn.functions import columns
 from cairn.functions.columns import eid
 from cairn.operators import audits, mining, pairs
 from cairn.plans import catalogue as cat
+from cairn.plans import chain
 from cairn.plans.catalogue import JAC, LF, ORACLES, QUERIES, query
 from cairn.plans.oracles import WHOLE, bound
 from cairn.plans.records import table, truth
@@ -277,5 +278,16 @@ def disjoint_samples(spark, d):
 def dictionary_report(spark, d):
     """Of the true pairs and SCRIPT_PAIRS, with the mined dictionary and SCRIPT_DICTIONARY."""
     p = cat.known_pairs(spark, d).select(F.col("s_raw").alias("s"), F.col("t_raw").alias("t")).unionByName(spark.createDataFrame(SCRIPT_PAIRS, "s string, t string"))
-    mined = mining.aligned_tokens(p, 2, 0.5).select("w", "e")
-    return mining.dictionary_report(p, mined.unionByName(spark.createDataFrame(SCRIPT_DICTIONARY, "w string, e string")).dropDuplicates(["w"]))
+    given = spark.createDataFrame(SCRIPT_DICTIONARY, "w string, e string")
+    mined = mining.aligned_tokens(p, 2, 0.5).select("w", F.lower("e").alias("e")).join(given, "w", "left_anti")
+    return mining.dictionary_report(p, mined.unionByName(given))
+
+
+# --- the job with trained models -------------------------------------------------------------------------------------
+
+
+@query()
+def linkage_trained(spark, d):
+    """Quality of the whole job with real normalization, a trained reranker and a trained matcher, on S1 that neither saw."""
+    k = cat.keys(spark, d)
+    return chain.link(k.select("entity_id", "business_name", "business_address", "country"), truth(k), cat.stages(spark, d).write, seeds=(1,))["quality"]
