@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 BLOOM_BITS = 20
-CACHE = 150_000
+CACHE, STEP = 300_000, 100_000  # chunks of a generation; chunks that are encoded together
 #: Chunks longer than LONG are cut where no piece crosses; what is left over MOST is merged from a heap. Array cells a batch.
 LONG, MOST, CELLS = 48, 512, 2_000_000
 WINDOW = 1 << 16
@@ -130,7 +130,7 @@ class Model:
                 text[i] = bytes([int(self.pieces[i][3:5], 16)])
             elif k == "n":
                 text[i] = self.pieces[i].replace(BLANK, " ").encode("utf-8", "surrogatepass")
-        self.ready |= {"hash": h[order], "chars": chars[order], "ids": ids, "scores": np.array(self.scores)[ids], "longest": longest, "bloom": bloom, "unknown": least - 10.0, "byte": byte, "text": text, "cache": {}}
+        self.ready |= {"hash": h[order], "chars": chars[order], "ids": ids, "scores": np.array(self.scores)[ids], "longest": longest, "bloom": bloom, "unknown": least - 10.0, "byte": byte, "text": text, "cache": {}, "old": {}}
         rank = np.unique(-np.array(self.scores)[normal], return_inverse=True)[1].astype(np.int32)
         self.ready |= {"ranks": rank[order], "rank": {self.pieces[i]: r for i, r in zip(normal, rank.tolist())}, "id": {self.pieces[i]: i for i in normal}}
         return self.ready
@@ -316,9 +316,9 @@ def encode_words(words: set[str], model: Model) -> dict[str, bytes]:
 def encode_chunks(keys: list[str], model: Model) -> dict[str, bytes]:
     """Chunks -> ids as little-endian int32 bytes."""
     t = model.tables()
-    parts = {k: cut(k, t) if len(k) > LONG else [k] for k in keys}
-    got = encode_words({w for p in parts.values() for w in p}, model)
-    return {k: got[p[0]] if len(p) == 1 else b"".join([got[w] for w in p]) for k, p in parts.items()}
+    parts = {k: cut(k, t) for k in keys if len(k) > LONG}
+    out = encode_words({w for p in parts.values() for w in p}.union(k for k in keys if len(k) <= LONG), model)
+    return out | {k: b"".join([out[w] for w in p]) for k, p in parts.items()}
 
 
 def _with_bytes(word: np.ndarray, ids: np.ndarray, model: Model) -> bytes:
@@ -349,20 +349,21 @@ def chunks(text: str, model: Model) -> list[str]:
 
 
 def encode(texts: list[str | None], model: Model) -> list[bytes]:
-    cache = model.tables()["cache"]
-    split = [chunks(t, model) if t else [] for t in texts]
-    new = set()
-    for keys in split:
-        new.update(keys)
-    if len(cache) + len(new) > CACHE:
-        cache.clear()
-    missing = [k for k in new if k not in cache]
-    step = 100_000
-    got = cache
-    if len(missing) > CACHE:
-        got = dict(cache)
-    for i in range(0, len(missing), step):
-        got |= encode_chunks(missing[i : i + step], model)
+    """Ids of every text as little-endian int32 bytes. Chunks met before are remembered, in two generations: what wasn't met
+    while the younger one filled up is forgotten."""
+    t = model.tables()
+    split = [chunks(x, model) if x else [] for x in texts]
+    if len(t["cache"]) > CACHE:
+        t["old"], t["cache"] = t["cache"], {}
+    got, old, missing = t["cache"], t["old"], []
+    for k in set().union(*split):
+        if k not in got:
+            if (ids := old.get(k)) is None:
+                missing.append(k)
+            else:
+                got[k] = ids
+    for i in range(0, len(missing), STEP):
+        got |= encode_chunks(missing[i : i + STEP], model)
     return [b"".join([got[k] for k in keys]) for keys in split]
 
 
