@@ -139,3 +139,9 @@ def test_variants_keep_repeats_and_drop_what_any_pair_varies(spark):
     got = mining.variants(spark.createDataFrame(rows, "s string, t string"), 1, 0.3).collect()
     # le varies lele, and sun stands for hall with another letter: la and son have no canonical; tea twice is not beside one the
     assert sorted(map(tuple, got)) == [("cov", "cof", 2, 1.0), ("le", "lele", 1, 1.0)]
+
+
+def test_address_ranks_tie_where_sql_ties(spark):
+    s, targets = "12 green old market", ["1 green", "12 market mark oldm", "12 green old markt", "x"]
+    j = spark.createDataFrame([(1, i, s, t, "", "") for i, t in enumerate(targets)], "s1_id long, tgt_id long, s_addr string, t_addr string, s_post string, t_post string")
+    assert [r.addr_rank for r in pairs.address_features(j).orderBy("tgt_id").collect()] == [2, 2, 1, 4]

@@ -42,6 +42,18 @@ def test_jaro_winkler_is_duckdbs():
     assert max(abs(jaro_winkler(a, b) - g) for (a, b), g in zip(pairs, got)) < 1e-9
 
 
+def test_jaro_winkler_is_duckdbs_to_the_last_bit():
+    import random
+
+    import duckdb
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcde 12") for _ in range(n))
+    pairs = [(a + word(rng.randint(0, 70)), a + word(rng.randint(0, 70))) for a in (word(rng.randint(0, 30)) for _ in range(4000))]
+    got = duckdb.execute("select list_transform(list_zip(?, ?), lambda p: jaro_winkler_similarity(p[1], p[2]))", [[a for a, _ in pairs], [b for _, b in pairs]]).fetchall()[0][0]
+    assert [jaro_winkler(a, b) for a, b in pairs if a or b] == [g for (a, b), g in zip(pairs, got) if a or b]
+
+
 def test_ratios():
     assert lcs("abcde", "ace") == 3 and ratio("", "") == 100 and ratio("ab", "cd") == 0
     assert token_sort_ratio("b a", "a b") == 100 and token_set_ratio("a b", "a b c") == 100 and token_set_ratio("", "") == 0
