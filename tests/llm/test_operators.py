@@ -793,3 +793,38 @@ def test_pipeline_is_its_stages(spark):
     assert mixed.count() == mixing.mix(hidden).agg(F.sum("copies")).first()[0] == out.count()
     run = corpus_pipeline.run(spark, sf)
     assert sorted((r.doc_id, r.n_tokens) for r in run.collect()) == sorted((r.doc_id, r.n_tokens) for r in out.collect())
+
+
+def test_near_copies_of_a_large_group_are_told_apart_by_what_they_share(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(k, words=base):
+        words = list(words)
+        for i in rng.sample(range(len(words)), k):
+            words[i] = f"z{rng.randrange(10**9)}"
+        return words
+
+    texts = [" ".join(edited(rng.randint(0, 9))) for _ in range(240)]
+    far = edited(14)
+    texts += [" ".join(far), " ".join(edited(1, far)), " ".join(base)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    compared, checked = [], jaccard.checked
+    monkeypatch.setattr(jaccard, "checked", lambda pairs, own: compared.append(pairs.count()) or checked(pairs, own))
+    prints, roots = jaccard.grouped(docs)
+    got = {r.doc_id: r.root for r in prints.join(roots, "fp").collect()}
+    sets = [jaccard.shingle_set(t) for t in texts]
+    top = list(range(len(texts)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if jaccard.similar(a, sets[j]):
+                top[find(i)] = find(j)
+    want = [find(i) for i in range(len(texts))]
+    assert len(set(want)) > 20 and len({(w, got[i]) for i, w in enumerate(want)}) == len(set(want)) == len(set(got.values()))
+    assert sum(compared[1:]) < 4 * len(texts)
